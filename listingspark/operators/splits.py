@@ -6,6 +6,7 @@ nor a changed price can move a group.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,10 +59,12 @@ def start_offset(folds: int) -> Column:
     return digests.hash_slot(F.sha2(F.concat_ws(":", *FAMILY), 256), folds)
 
 
-def deal_folds(groups: DataFrame, seed: int, folds: int, phase: str = DEVELOPMENT_PHASE) -> DataFrame:
+def deal_folds(
+    groups: DataFrame, seed: int, folds: int, phase: str = DEVELOPMENT_PHASE, within: Sequence[str] = FAMILY,
+) -> DataFrame:
     """Deal each family's groups over the folds, largest first, back and forth."""
     keyed = groups.withColumn("__digest", digests.sha256_text(seed, phase, F.col("group_id")))
-    ranked = rank_by_digest(keyed, FAMILY, "__digest", "group_id", lead=["rows"], rank="__rank", size="__size")
+    ranked = rank_by_digest(keyed, within, "__digest", "group_id", lead=["rows"], rank="__rank", size="__size")
     place = F.col("__rank") - 1
     turn = F.pmod(place, F.lit(folds))
     forward = F.pmod(F.floor(place / folds), F.lit(2)) == 0
@@ -156,12 +159,15 @@ def build_splits(
 def place_groups(groups: DataFrame, seed: int, test_fraction: float, folds: int, mode: str = "deal") -> DataFrame:
     if mode not in ("deal", "greedy"):
         raise ValueError("mode must be deal or greedy")
-    reserved = reserve_test(groups, seed, test_fraction)
-    columns = ["group_id", *FAMILY, "rows", "partition"]
-    development = reserved.where(F.col("partition") == DEVELOPMENT).select(*columns)
-    test = reserved.where(F.col("partition") == TEST_PARTITION).select(*columns)
-    dealt = (deal_folds if mode == "deal" else greedy_folds)(development, seed, folds)
-    return dealt.unionByName(test.withColumn("validation_fold", F.lit(None).cast("int")))
+    reserved = reserve_test(groups, seed, test_fraction).select("group_id", *FAMILY, "rows", "partition")
+    if mode == "deal":
+        # One ranking serves both partitions; test groups then drop their place in it.
+        dealt = deal_folds(reserved, seed, folds, within=[*FAMILY, "partition"])
+        kept = F.when(F.col("partition") == DEVELOPMENT, F.col("validation_fold"))
+        return dealt.withColumn("validation_fold", kept)
+    development = reserved.where(F.col("partition") == DEVELOPMENT)
+    test = reserved.where(F.col("partition") == TEST_PARTITION)
+    return greedy_folds(development, seed, folds).unionByName(test.withColumn("validation_fold", F.lit(None).cast("int")))
 
 
 def assign_rows(rows: DataFrame, placed: DataFrame) -> DataFrame:

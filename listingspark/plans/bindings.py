@@ -40,10 +40,50 @@ OBS = (
 
 def observations(t: Tables) -> DataFrame:
     """Every line item as an observation of a listing; ids repeat across batches."""
-    joined = (
+    return joined_line_items(t).selectExpr(*[f"{expression} AS {name}" for expression, name in OBSERVATION_COLUMNS])
+
+# A stored export of the same line items: all text, with the faults real exports have.
+RAW_EXPRESSIONS = (
+    ("concat(l_orderkey, '-', l_linenumber)", "listing_id"),
+    ("CASE WHEN l_orderkey % 19 = 0 THEN '' ELSE concat(p_brand, '  ', p_type, ' ', p_name, ' ', year(o_orderdate)) END", "car_title"),
+    ("CASE l_orderkey % 23 WHEN 0 THEN '1850' WHEN 1 THEN 'unknown' WHEN 2 THEN concat(year(o_orderdate), '.0') ELSE concat(year(o_orderdate), '') END", "year"),
+    ("CASE l_orderkey % 29 WHEN 0 THEN '' WHEN 1 THEN concat(cast(floor(l_extendedprice) as bigint), '.5') WHEN 2 THEN '-5' WHEN 3 THEN 'NaN' WHEN 4 THEN '1e5' ELSE concat(cast(floor(l_extendedprice) as bigint), CASE WHEN l_partkey % 2 = 0 THEN '.0' ELSE '' END) END", "price_pkr"),
+    ("CASE l_orderkey % 31 WHEN 0 THEN '' WHEN 1 THEN '-3' WHEN 2 THEN '0' ELSE concat(cast(floor(l_quantity) as bigint), '') END", "mileage_km"),
+    ("CASE l_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN ' N/A ' WHEN 2 THEN 'cng' WHEN 3 THEN 'hybrid' ELSE l_returnflag END", "fuel"),
+    ("CASE l_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'cvt' ELSE l_linestatus END", "transmission"),
+    ("CASE l_orderkey % 37 WHEN 0 THEN '0' WHEN 1 THEN 'Infinity' WHEN 2 THEN '' ELSE concat(p_size, '') END", "engine_cc"),
+    ("CASE WHEN l_orderkey % 41 = 0 THEN '-' ELSE n_name END", "listing_city"),
+    ("CASE WHEN l_orderkey % 43 = 0 THEN '' ELSE concat('https://www.example.com/used-cars/', replace(lower(p_name), ' ', '-'), '-for-sale-in-', lower(replace(n_name, '_', '-')), '-', l_orderkey, '0', l_linenumber) END", "source_url"),
+    ("concat(cast(l_shipdate as date), 'T00:00:00+00:00')", "collected_at"),
+    ("CASE WHEN l_orderkey % 47 = 0 THEN 'odd' WHEN l_orderkey % 19 = 0 OR l_orderkey % 29 = 0 OR l_orderkey % 31 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'incomplete' ELSE 'complete' END ELSE 'complete' END", "parse_status"),
+    ("CASE WHEN l_orderkey % 53 = 0 THEN 'price_pkr' ELSE '' END", "missing_fields"),
+    ("CASE WHEN l_orderkey % 13 = 0 THEN upper(p_brand) WHEN l_orderkey % 59 = 0 THEN 'N/A' ELSE p_brand END", "make"),
+    ("CASE WHEN l_orderkey % 61 = 0 THEN '' WHEN l_orderkey % 11 = 0 THEN lower(p_type) WHEN l_orderkey % 67 = 0 THEN 'Unheard' ELSE p_type END", "model"),
+    ("CASE l_orderkey % 17 WHEN 0 THEN 'n/a' WHEN 1 THEN upper(p_name) WHEN 2 THEN concat('Rare ', p_name) ELSE p_name END", "variant"),
+    ("lower(o_orderpriority)", "assembly"),
+    ("CASE WHEN l_orderkey % 3 = 0 THEN 'suv' ELSE lower(c_mktsegment) END", "body_type"),
+    ("CASE l_orderkey % 6 WHEN 0 THEN concat(year(o_orderdate) - 1, '') WHEN 1 THEN concat(year(o_orderdate) + 1, '') WHEN 2 THEN 'soon' ELSE '' END", "registration_year"),
+    ("CASE WHEN l_orderkey % 4 = 0 THEN 'unknown' ELSE 'first_pakistan_registration' END", "registration_year_meaning"),
+    ("CASE WHEN l_orderkey % 8 = 0 THEN '' ELSE concat(cast(o_orderdate as date), '') END", "listing_date"),
+)
+RAW = (
+    "raw AS (SELECT " + ", ".join(f"{expression} AS {name}" for expression, name in RAW_EXPRESSIONS)
+    + ", l_orderkey AS order_key, l_partkey AS part_key, concat('batch_', l_suppkey % 3) AS source_batch"
+    + f" FROM {_FROM})"
+)
+
+
+def joined_line_items(t: Tables) -> DataFrame:
+    return (
         t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    return joined.selectExpr(*[f"{expression} AS {name}" for expression, name in OBSERVATION_COLUMNS])
+
+
+def raw_export(t: Tables, *extra: str) -> DataFrame:
+    """All-text rows as a batch stores them; ``extra`` adds helper expressions."""
+    return joined_line_items(t).selectExpr(
+        *[f"{expression} AS {name}" for expression, name in RAW_EXPRESSIONS], *extra
+    )

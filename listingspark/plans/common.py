@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baseline, consolidate, metrics, splits
+from ..session import StageTables, path_exists
 from .bindings import OBS, observations
 from .registry import Tables
 
 SEED, FRACTION, FOLDS, MINIMUM = 42, 0.2, 3, 5
+SHIFT = 1.23e-6
 
 _REST = (
     "make, model, variant, year, mileage_km, engine_cc, fuel, transmission, listing_city, assembly, "
@@ -84,11 +86,46 @@ TO_SPLIT = f"{TO_POP},\n{SPLIT}"
 TO_DEV = f"{TO_SPLIT},\n{DEV}"
 TO_PRED = f"{TO_DEV},\n{PRED}"
 
-METRIC_SQL = """count(*) AS count, round(avg(abs(predicted_pkr - actual_pkr)), 4) AS mae_pkr,
-  round(median(abs(predicted_pkr - actual_pkr)), 4) AS median_ae_pkr,
-  round(median(100 * abs(predicted_pkr - actual_pkr) / actual_pkr), 4) AS median_ape_pct,
-  round(sqrt(avg((predicted_pkr - actual_pkr) * (predicted_pkr - actual_pkr))), 4) AS rmse_pkr,
-  count(*) FILTER (WHERE predicted_pkr <= 0) AS nonpositive_predictions"""
+
+
+def rounded_sql(expression: str, digits: int = 4) -> str:
+    return f"round(({expression}) + {SHIFT!r}, {digits})"
+
+
+def metric_sql(actual: str = "actual_pkr", predicted: str = "predicted_pkr") -> str:
+    error = f"abs({predicted} - {actual})"
+    return ", ".join([
+        "count(*) AS count",
+        rounded_sql(f"avg({error})") + " AS mae_pkr",
+        rounded_sql(f"median({error})") + " AS median_ae_pkr",
+        rounded_sql(f"median(100 * {error} / {actual})") + " AS median_ape_pct",
+        rounded_sql(f"sqrt(avg({error} * {error}))") + " AS rmse_pkr",
+        f"count(*) FILTER (WHERE {predicted} <= 0) AS nonpositive_predictions",
+    ])
+
+
+_STAGES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+
+
+def stage(t: Tables, name: str, build) -> DataFrame:
+    """A dataset artifact of one data folder: written once per application, then scanned.
+
+    Consolidated rows, split groups and predictions feed several branches of every plan
+    after them; as tables they are computed once and have exact sizes.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key in _STAGES:
+        path, table = _STAGES[key]
+        if path_exists(t.spark, path):
+            return table
+    tables = StageTables(t.spark, name)
+    _STAGES[key] = (f"{tables.root}/0000", tables.write(build()))
+    return _STAGES[key][1]
+
+
+def forget_stages() -> None:
+    """Compute every artifact anew, as a timing run must."""
+    _STAGES.clear()
 
 
 def latest(t: Tables) -> DataFrame:
@@ -98,18 +135,23 @@ def latest(t: Tables) -> DataFrame:
 
 def population(t: Tables) -> DataFrame:
     """Latest rows with a split group that stays inside one family."""
-    return latest(t).withColumn("group_id", F.concat_ws(":", "make", "model", "year", "mileage_km", "engine_cc"))
+    group = F.concat_ws(":", "make", "model", "year", "mileage_km", "engine_cc")
+    return stage(t, "population", lambda: latest(t).withColumn("group_id", group))
+
+
+def placed_groups(t: Tables) -> DataFrame:
+    """Every split group with its partition and fold."""
+    groups = stage(t, "groups", lambda: splits.group_table(population(t)))
+    return stage(t, "placed", lambda: splits.place_groups(groups, SEED, FRACTION, FOLDS))
 
 
 def assignments(t: Tables) -> DataFrame:
-    return splits.build_splits(population(t), seed=SEED, test_fraction=FRACTION, folds=FOLDS)
+    return splits.assign_rows(population(t), placed_groups(t))
 
 
 def located(t: Tables) -> DataFrame:
     """Population rows with their partition and fold, joined on the group."""
-    rows = population(t)
-    placed = splits.place_groups(splits.group_table(rows), SEED, FRACTION, FOLDS)
-    return rows.join(placed.select("group_id", "partition", "validation_fold"), "group_id")
+    return population(t).join(placed_groups(t).select("group_id", "partition", "validation_fold"), "group_id")
 
 
 def development(t: Tables) -> DataFrame:
@@ -118,14 +160,23 @@ def development(t: Tables) -> DataFrame:
 
 def baseline_predictions(t: Tables) -> DataFrame:
     """One held-out median prediction for each development row."""
-    predicted = baseline.out_of_fold_medians(development(t), FOLDS, min_group_size=MINIMUM)
-    return metrics.with_family(predicted).select(
-        "listing_id", "group_id", F.col("validation_fold").alias("fold"), "family", "make", "model", "variant",
-        "year", "listing_city", F.col("price_pkr").alias("actual_pkr"), "predicted_pkr",
-    )
+
+    def build() -> DataFrame:
+        predicted = baseline.out_of_fold_medians(development(t), FOLDS, min_group_size=MINIMUM)
+        return metrics.with_family(predicted).select(
+            "listing_id", "group_id", F.col("validation_fold").alias("fold"), "family", "make", "model", "variant",
+            "year", "listing_city", F.col("price_pkr").alias("actual_pkr"), "predicted_pkr",
+        )
+
+    return stage(t, "predictions", build)
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded for comparison across engines, whose sums run in different orders."""
+    """Doubles rounded for comparison across engines, whose sums run in different orders.
+
+    The small shift keeps exact decimal ties off the rounding boundary.
+    """
     doubles = {name for name, kind in df.dtypes if kind == "double"}
-    return df.select(*[F.round(name, digits).alias(name) if name in doubles else F.col(name) for name in df.columns])
+    return df.select(*[
+        F.round(F.col(name) + SHIFT, digits).alias(name) if name in doubles else F.col(name) for name in df.columns
+    ])

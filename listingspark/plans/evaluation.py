@@ -9,7 +9,7 @@ from . import common as c
 from .registry import query
 
 
-@query("g1_family_metrics", f"WITH {c.TO_PRED} SELECT family, {c.METRIC_SQL} FROM pred1 GROUP BY family")
+@query("g1_family_metrics", f"WITH {c.TO_PRED} SELECT family, {c.metric_sql()} FROM pred1 GROUP BY family")
 def family_metrics(t):
     """Latest rows, group split, out-of-fold comparable medians, errors by family."""
     return c.rounded(metrics.regression_metrics(c.baseline_predictions(t), ["family"]))

@@ -45,6 +45,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def _file_system(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    location, files = _file_system(spark, path)
+    return files.exists(location)
+
+
 class StageTables:
     """Intermediate tables of one iterative job, written below the checkpoint folder.
 
@@ -67,7 +77,5 @@ class StageTables:
         """Delete all but the newest ``keep`` tables; nothing reads them any more."""
         step = self.step - keep - 1
         if step >= 0:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{step:04d}")
-            files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            files.delete(path, True)
+            location, files = _file_system(self.spark, f"{self.root}/{step:04d}")
+            files.delete(location, True)
