@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import auditing, evaluation, scalars  # noqa: F401
+from . import auditing, evaluation, preparation, scalars  # noqa: F401
 from .registry import REGISTRY
 
 
