@@ -32,8 +32,10 @@ YEAR_RANGE = "Year is outside the audit sanity range; review source"
 
 def whole_number(c: Column) -> Column:
     """The bigint a text stands for, or null unless it is finite and whole."""
-    exact = F.trim(F.replace(c.cast("string"), F.lit(","), F.lit(""))).try_cast(_EXACT)
-    return F.when(exact == F.floor(exact), exact.try_cast("bigint"))
+    text = F.trim(F.replace(c.cast("string"), F.lit(","), F.lit("")))
+    exact = text.try_cast(_EXACT)
+    # Plain digits need no decimal arithmetic.
+    return F.coalesce(text.try_cast("bigint"), F.when(exact == F.floor(exact), exact.try_cast("bigint")))
 
 
 def first_number(c: Column) -> Column:

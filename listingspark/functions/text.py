@@ -12,13 +12,20 @@ UPPER_CATEGORIES = ("CNG", "LPG", "PHEV", "CVT", "SUV")
 # Text written for an absent number by table exports.
 ABSENT_TOKENS = ("", "nan", "<na>")
 
-# Every character a Unicode-aware "\s" matches.
+# Every character a Unicode-aware "\s" matches, as a pattern and one by one.
 WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+_SPACES = "".join(chr(code) for code in (
+    *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+))
 
 
 def squash(c: Column) -> Column:
-    """Collapse runs of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(c, WHITESPACE, " "))
+    """Collapse runs of white space to one blank and trim.
+
+    Only a text with two blanks in a row, which is rare, pays for a regular expression.
+    """
+    blanks = F.translate(c, _SPACES, " " * len(_SPACES))
+    return F.trim(F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " {2,}", " ")).otherwise(blanks))
 
 
 def label(c: Column) -> Column:
@@ -33,7 +40,8 @@ def title_case(c: Column) -> Column:
     capitalised = F.transform(
         runs, lambda run: F.concat(F.upper(F.left(run, F.lit(1))), F.lower(F.substr(run, F.lit(2))))
     )
-    return F.array_join(capitalised, "")
+    # initcap starts words at blanks only; other boundaries need the letter runs.
+    return F.when(c.rlike(r"[^\p{L} ]\p{L}"), F.array_join(capitalised, "")).otherwise(F.initcap(c))
 
 
 def category(c: Column) -> Column:

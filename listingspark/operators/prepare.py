@@ -14,8 +14,9 @@ from ..functions.text import category, label
 from .consolidate import link_key
 from .identity import UNRESOLVED_VARIANT, resolve_identity
 
-# Label fields, numbers and the wording of notes and reasons.
-LABEL_FIELDS = ("make", "model", "variant", "fuel", "transmission", "assembly", "body_type", "listing_city")
+# Label fields beside make, model and variant, numbers, and the wording of notes
+# and reasons.
+LABEL_FIELDS = ("fuel", "transmission", "assembly", "body_type", "listing_city")
 CASED_FIELDS = ("fuel", "transmission", "assembly", "body_type")
 NUMBER_FIELDS = ("year", "price_pkr", "mileage_km", "engine_cc", "registration_year")
 REQUIRED_NUMBERS = (("price_pkr", True), ("mileage_km", False), ("year", True))
