@@ -32,17 +32,17 @@ def tie_conflicts(t):
 
 
 # Historical assignments for some ids: groups of ids that shared an order, most in one place.
-_HISTORY = """history AS (SELECT DISTINCT listing_id, concat('old_', order_key // 40) AS group_id,
-  CASE WHEN (order_key // 40) % 5 = 0 THEN 'demo_test' ELSE 'development' END AS partition,
-  CASE WHEN (order_key // 40) % 5 = 0 THEN NULL ELSE CAST((order_key // 40) % 3 AS INTEGER) END AS validation_fold
-  FROM obs WHERE order_key % 40 = 3)"""
+_HISTORY = """history AS (SELECT DISTINCT listing_id, concat('old_', order_key // 12) AS group_id,
+  CASE WHEN (order_key // 12) % 5 = 0 THEN 'demo_test' ELSE 'development' END AS partition,
+  CASE WHEN (order_key // 12) % 5 = 0 THEN NULL ELSE CAST((order_key // 12) % 3 AS INTEGER) END AS validation_fold
+  FROM obs WHERE order_key % 4 = 3)"""
 
 
 def history(t):
-    return observations(t).where("order_key % 40 = 3").selectExpr(
-        "listing_id", "concat('old_', order_key div 40) AS group_id",
-        "CASE WHEN (order_key div 40) % 5 = 0 THEN 'demo_test' ELSE 'development' END AS partition",
-        "CASE WHEN (order_key div 40) % 5 <> 0 THEN cast((order_key div 40) % 3 AS int) END AS validation_fold",
+    return observations(t).where("order_key % 4 = 3").selectExpr(
+        "listing_id", "concat('old_', order_key div 12) AS group_id",
+        "CASE WHEN (order_key div 12) % 5 = 0 THEN 'demo_test' ELSE 'development' END AS partition",
+        "CASE WHEN (order_key div 12) % 5 <> 0 THEN cast((order_key div 12) % 3 AS int) END AS validation_fold",
     ).distinct()
 
 
