@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import auditing, consolidation, evaluation, preparation, scalars, splitting  # noqa: F401
+from . import auditing, consolidation, evaluation, extraction, preparation, scalars, splitting  # noqa: F401
 from .registry import REGISTRY
 
 
