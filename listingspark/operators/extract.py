@@ -98,7 +98,7 @@ def extract_listings(structured: DataFrame, *, url: str = "url") -> DataFrame:
     engine = F.nullif(F.regexp_extract(F.left("__primary", F.lit(4500)), ENGINE, 1), F.lit(""))
     listing_id = F.nullif(F.regexp_extract("__path", r"-(\d+)$", 1), F.lit(""))
     city = F.nullif(F.regexp_extract("__path", r"(?i)-for-sale-in-(.+)-\d+$", 1), F.lit(""))
-    fields = scoped.withColumns({
+    fields = with_identity(scoped).withColumns({
         "listing_id": listing_id,
         "car_title": F.nullif("__title", F.lit("")),
         "year": F.coalesce("__title_year", "__body_year").cast("int"),
@@ -108,8 +108,7 @@ def extract_listings(structured: DataFrame, *, url: str = "url") -> DataFrame:
         "engine_cc": engine.try_cast("int"),
         "listing_city": text.city_from_slug(city),
         "source_url": F.col(url),
-        **identity_columns(F.col("__product"), F.col("__title"), F.col("__title_year")),
-        **detail_columns(page["details"], F.col("__product")),
+        **detail_columns(page["details"], F.col("__body")),
         **registration_columns(page["comments"]),
         "collection_schema_version": F.lit(SCHEMA_VERSION),
     })
@@ -166,32 +165,43 @@ def listing_product(objects: Column, url: Column) -> Column:
     return F.when(F.size(matches) == 1, F.get(matches, F.lit(0)))
 
 
-def identity_columns(product: Column, title: Column, year: Column) -> dict[str, Column]:
-    """Make and model of the product; the variant is what the heading adds to them and the year."""
-    brand = _json(product, "$.brand")
-    make = _clean(F.when(F.startswith(brand, F.lit("{")), _json(product, "$.brand.name")).otherwise(brand))
-    model = _clean(_json(product, "$.model"))
-    known = make.isNotNull() & model.isNotNull()
-    prefix, heading = F.lower(F.concat(make, F.lit(" "), model)), text.squash(title)
-    suffix = F.concat(F.lit(" "), year)
-    middle = F.substr(heading, F.length(prefix) + 1, F.length(heading) - F.length(prefix) - F.length(suffix))
+def with_identity(df: DataFrame) -> DataFrame:
+    """Make and model of ``__product``; the variant is what the heading adds to them and the year.
+
+    Each step is its own projection, so that no JSON path is read twice.
+    """
+    brand = _json(F.col("__product"), "$.brand")
+    named = df.withColumns({
+        "__brand": brand, "__model": _clean(_json(F.col("__product"), "$.model")),
+        "__body": _clean(_json(F.col("__product"), "$.bodyType")), "__heading": text.squash(F.col("__title")),
+    })
+    nested = F.startswith("__brand", F.lit("{"))
+    named = named.withColumn("__make", _clean(F.when(nested, _json(F.col("__brand"), "$.name")).otherwise(F.col("__brand"))))
+    named = named.withColumns({
+        "__known": F.col("__make").isNotNull() & F.col("__model").isNotNull(),
+        "__prefix": F.lower(F.concat("__make", F.lit(" "), "__model")), "__suffix": F.concat(F.lit(" "), "__title_year"),
+    })
+    spare = F.length("__heading") - F.length("__prefix") - F.length("__suffix")
+    named = named.withColumns({
+        "__spare": spare, "__middle": F.substr("__heading", F.length("__prefix") + 1, spare),
+    })
     fits = (
-        F.startswith(F.lower(heading), prefix) & F.endswith(heading, suffix)
-        & (F.length(heading) >= F.length(prefix) + F.length(suffix))
-        & ((middle == "") | F.startswith(middle, F.lit(" ")))
+        (F.col("__spare") >= 0) & F.startswith(F.lower("__heading"), F.col("__prefix")) & F.endswith("__heading", F.col("__suffix"))
+        & ((F.col("__middle") == "") | F.startswith("__middle", F.lit(" ")))
     )
-    fits = F.coalesce(known & fits, F.lit(False))
-    status = F.when(fits, F.lit("extracted_pending_review")).when(known, F.lit("family_extracted_variant_unmatched")).otherwise(F.lit("unmatched"))
-    return {
-        "make": F.when(known, make), "model": F.when(known, model), "variant": F.when(fits, _clean(middle)), "identity_status": status,
-    }
+    named = named.withColumn("__fits", F.coalesce(F.col("__known") & fits, F.lit(False)))
+    return named.withColumns({
+        "make": F.when(F.col("__known"), F.col("__make")), "model": F.when(F.col("__known"), F.col("__model")),
+        "variant": F.when(F.col("__fits"), _clean(F.col("__middle"))),
+        "identity_status": F.when(F.col("__fits"), F.lit("extracted_pending_review")).when(
+            F.col("__known"), F.lit("family_extracted_variant_unmatched")).otherwise(F.lit("unmatched")),
+    })
 
 
-def detail_columns(details: Column, product: Column) -> dict[str, Column]:
+def detail_columns(details: Column, body: Column) -> dict[str, Column]:
     """Assembly, body type and displayed date from the label/value table."""
     labelled = F.map_from_entries(details)
     stated = lambda label: F.nullif(F.try_element_at(labelled, F.lit(label)), F.lit(""))
-    body = _clean(_json(product, "$.bodyType"))
     shown = F.coalesce(*[stated(label) for label, _ in DATE_LABELS])
     kind, label = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, meaning in reversed(DATE_LABELS):
