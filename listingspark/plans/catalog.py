@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import auditing, consolidation, evaluation, extraction, preparation, scalars, splitting  # noqa: F401
+from . import (  # noqa: F401
+    auditing, collection, consolidation, evaluation, extraction, models, preparation, scalars, splitting,
+)
 from .registry import REGISTRY
 
 
