@@ -42,14 +42,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on anything."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    places = ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return places.where((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))).isEmpty()
 
 
 def component_labels(links: DataFrame, node: str, key: str, *, label: str = "component") -> DataFrame:
     """Each id with the smallest id of its component.
 
-    Alternates two neighbourhood passes until the edges no longer change, which takes a
+    Alternates two neighbourhood passes until all edges form stars, which takes a
     logarithmic number of rounds even for long chains. A round keeps at most one edge per
     input edge, its minima combine before the shuffle, and its result is written to the
     checkpoint folder so lineage stays short. Null keys link nothing.
@@ -57,14 +62,9 @@ def component_labels(links: DataFrame, node: str, key: str, *, label: str = "com
     stages = StageTables(links.sparkSession, "components")
     nodes = links.select(node).distinct()
     edges = stages.write(star_edges(links.where(F.col(key).isNotNull()), node, key))
-    seen = _fingerprint(edges)
-    while seen[0]:
+    while not _is_settled(edges):
         edges = stages.write(_small_star(_large_star(edges)))
         stages.drop_before(2)
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     roots = edges.select(F.col("u").alias(node), F.col("v").alias("__root"))
     return nodes.join(roots, node, "left").select(
         node, F.coalesce("__root", node).alias(label)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import price_band
@@ -78,6 +79,14 @@ def summarize_predictions(
     return regression_metrics(long, [experiment, "dimension", "value"])
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns, as one row."""
+    stacked = rows[0]
+    for other in rows[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
+
+
 def with_family(df: DataFrame) -> DataFrame:
     return df.withColumn("family", family_name(F.col("make"), F.col("model")))
 
@@ -88,15 +97,16 @@ def experiment_summary(predictions: DataFrame, folds: DataFrame, baseline: str =
     ``folds`` holds (experiment, fold, mae_pkr).
     """
     overall = regression_metrics(predictions, ["experiment"])
-    reference = overall.where(F.col("experiment") == baseline).select(F.col("mae_pkr").alias("__base"))
     fold_base = folds.where(F.col("experiment") == baseline).select("fold", F.col("mae_pkr").alias("__fold_base"))
     spread = folds.select("experiment", "fold", "mae_pkr").join(fold_base, "fold", "left").groupBy("experiment").agg(
         F.min("mae_pkr").alias("fold_mae_min_pkr"), F.max("mae_pkr").alias("fold_mae_max_pkr"),
         F.count_if(F.col("mae_pkr") < F.col("__fold_base")).alias("folds_better_than_baseline"),
     )
+    # One row per experiment is left here, so a window over all of them stays tiny.
+    base = F.max(F.when(F.col("experiment") == baseline, F.col("mae_pkr"))).over(W.partitionBy(F.lit(0)))
+    based = overall.withColumn("__base", base)
     improved = F.when(F.col("__base") != 0, 100 * (F.col("__base") - F.col("mae_pkr")) / F.col("__base"))
-    keyed = overall.withColumn("__k", F.lit(1)).join(reference.withColumn("__k", F.lit(1)), "__k", "left")
-    return keyed.join(spread, "experiment").select(
+    return based.join(spread, "experiment").select(
         "experiment", *METRICS, "fold_mae_min_pkr", "fold_mae_max_pkr",
         improved.alias("baseline_improvement_pct"), "folds_better_than_baseline",
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..functions.text import is_present, squash
+from .metrics import side_by_side
 
 # Selection outcomes and the group of rows no quota claims.
 DUPLICATE, ALREADY_COMPLETE, REFRESH, NEW = "duplicate", "already_complete", "refresh", "new"
@@ -136,8 +137,7 @@ def batch_summary(rows: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
         *[F.count_if(is_present(F.col(name))).alias(f"present_{name}") for name in fields],
     )
     ids = rows.where(is_present(F.col("listing_id"))).agg(F.count_distinct("listing_id").alias("unique_listing_ids"))
-    one = lambda df: df.withColumn("__k", F.lit(1))
-    return one(counts).join(one(ids), "__k").drop("__k")
+    return side_by_side(counts, ids)
 
 
 RUN_LOG_SCHEMA = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_small
 from .registry import Tables
 
 # (expression, column): both engines read these expressions, so inputs agree by construction.
@@ -75,7 +76,7 @@ RAW = (
 
 def joined_line_items(t: Tables) -> DataFrame:
     return (
-        t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        spread_small(t.lineitem).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -45,6 +45,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+# Below this many bytes per core a table is too small to fill the cluster by its file layout.
+_SPREAD_BYTES_PER_CORE = 16 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a scan over all cores when its estimated size is small, else leave it alone.
+
+    A table in one or two row groups would keep every expression after it in one task.
+    Large tables have enough splits of their own and must not pay for a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * _SPREAD_BYTES_PER_CORE else df
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

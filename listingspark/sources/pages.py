@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,14 +31,11 @@ _SCOPES = frozenset(("ul", "ol", "table", "div", "body", "html", "select"))
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "classes")
 
     def __init__(self, tag, attrs=(), parent=None):
         self.tag, self.attrs, self.parent, self.children = tag, dict(attrs), parent, []
-
-    @property
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
+        self.classes = self.attrs["class"].split() if "class" in self.attrs else ()
 
     def walk(self, skip=None):
         """Elements and texts below this element in document order."""
@@ -62,40 +59,71 @@ class _Element:
         return siblings[place + 1:]
 
 
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.here = _Element("")
+# One token: a comment or declaration, an end tag, or a start tag with its attributes.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_RAW_TEXT = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style")}
 
-    def handle_starttag(self, tag, attrs):
-        closed = _CLOSES.get(tag)
-        if closed:
-            node = self.here
-            while node.parent is not None and node.tag not in _SCOPES and node.tag not in closed:
-                node = node.parent
-            if node.tag in closed:
-                self.here = node.parent
-        element = _Element(tag, attrs, self.here)
-        self.here.children.append(element)
-        if tag not in VOID:
-            self.here = element
-
-    def handle_startendtag(self, tag, attrs):
-        self.here.children.append(_Element(tag, attrs, self.here))
-
-    def handle_endtag(self, tag):
-        node = self.here
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.here = node.parent
 
-    def handle_data(self, data):
-        children = self.here.children
+def _attributes(source):
+    """The attributes any rule looks at, with character references resolved."""
+    found = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(source):
+        name = name.lower()
+        if name in ("id", "class", "type"):
+            found.setdefault(name, unescape(double or single or bare))
+    return found
+
+
+def build_tree(html):
+    """Tree of elements and texts; unclosed items, paragraphs and cells end where they must."""
+    root = here = _Element("")
+    at = 0
+
+    def add_text(text):
+        children = here.children
+        if "&" in text:
+            text = unescape(text)
         if children and isinstance(children[-1], str):
-            children[-1] += data
+            children[-1] += text
         else:
-            children.append(data)
+            children.append(text)
+
+    while at < len(html):
+        token = _TOKEN.search(html, at)
+        if token is None:
+            add_text(html[at:])
+            break
+        if token.start() > at:
+            add_text(html[at:token.start()])
+        at = token.end()
+        ended, started, attributes = token.groups()
+        if ended:
+            node, tag = here, ended.lower()
+            while node.parent is not None and node.tag != tag:
+                node = node.parent
+            if node.parent is not None:
+                here = node.parent
+        elif started:
+            tag = started.lower()
+            closed = _CLOSES.get(tag)
+            if closed:
+                node = here
+                while node.parent is not None and node.tag not in _SCOPES and node.tag not in closed:
+                    node = node.parent
+                if node.tag in closed:
+                    here = node.parent
+            element = _Element(tag, _attributes(attributes) if "=" in attributes else (), here)
+            here.children.append(element)
+            if tag in _RAW_TEXT:
+                end = _RAW_TEXT[tag].search(html, at)
+                element.children.append(html[at:end.start() if end else len(html)])
+                at = end.end() if end else len(html)
+            elif tag not in VOID and not attributes.endswith("/"):
+                here = element
+    return root
 
 
 def _hidden(element):
@@ -132,15 +160,13 @@ def _price_box(elements):
 
 def read_page(html: str | None):
     """(title, price box, visible text, JSON-LD objects, details, comment lines) of a page."""
-    builder = _TreeBuilder()
-    builder.feed(html or "")
-    builder.close()
-    elements = list(builder.root.elements())
+    root = build_tree(html or "")
+    elements = list(root.elements())
     by_id = {}
     for element in elements:
         by_id.setdefault(element.attrs.get("id"), element)
     heading = next((e for e in elements if e.tag == "h1"), None)
-    body = next((e for e in elements if e.tag == "body"), builder.root)
+    body = next((e for e in elements if e.tag == "body"), root)
     objects = []
     for element in elements:
         if element.tag == "script" and element.attrs.get("type") == "application/ld+json":
