@@ -72,7 +72,7 @@ _V = "cast(floor(l_extendedprice) as bigint) * 10"
 _KEYS = (
     ("l_orderkey", "k"), ("l_linenumber", "n"), ("l_partkey", "pk"), ("l_suppkey", "sk"), (_YR, "yr"), ("cast(floor(l_quantity) as bigint)", "q"),
     (_V, "v"), ("p_brand", "brand"), ("p_type", "kind"), ("p_name", "name"), ("n_name", "nation"), ("p_size", "size"), ("cast(o_orderdate as date)", "day"),
-    ("concat('https://www.example.com/used-cars/', replace(p_name, ' ', '-'), '-for-sale-in-', lower(replace(n_name, '_', '-')), '-', l_orderkey, '0', l_linenumber, '0', l_partkey, '0', l_suppkey)", "url"),
+    ("concat('https://www.example.com/used-cars/', replace(p_name, ' ', '-'), '-for-sale-in-', lower(replace(n_name, '_', '-')), '-', l_orderkey, lpad(concat('', l_linenumber), 2, '0'), lpad(concat('', l_partkey), 9, '0'), lpad(concat('', l_suppkey), 7, '0'), lpad(concat('', cast(floor(l_extendedprice) as bigint) * 10), 10, '0'))", "url"),
     ("CASE l_partkey % 5 WHEN 0 THEN 'Petrol' WHEN 1 THEN 'diesel' WHEN 2 THEN 'CNG' WHEN 3 THEN 'phev' ELSE 'none' END", "fuel_word"),
     ("CASE l_partkey % 3 WHEN 0 THEN 'Automatic' WHEN 1 THEN 'manual' ELSE 'CVT' END", "gear_word"),
 )
@@ -162,7 +162,7 @@ def fuel_transmission_engine(t):
     return extracted(t).select("k", "n", "sk", "fuel", "transmission", "engine_cc")
 
 
-@query("e7_id_and_city", f"WITH {SRC} SELECT k, n, sk, concat(k, '0', n, '0', pk, '0', sk) AS listing_id, replace(concat(upper(nation[1]), lower(nation[2:])), '_', ' ') AS listing_city FROM src")
+@query("e7_id_and_city", f"WITH {SRC} SELECT k, n, sk, concat(k, lpad(concat('', n), 2, '0'), lpad(concat('', pk), 9, '0'), lpad(concat('', sk), 7, '0'), lpad(concat('', v), 10, '0')) AS listing_id, replace(concat(upper(nation[1]), lower(nation[2:])), '_', ' ') AS listing_city FROM src")
 def id_and_city(t):
     return extracted(t).select("k", "n", "sk", "listing_id", "listing_city")
 
@@ -232,14 +232,14 @@ def provenance(t):
 
 
 # Stored rows: what extraction gave, with faults in some numbers and fuels.
-_STORED = """st AS (SELECT *, concat(k, '0', n, '0', pk, '0', sk) AS listing_id, CASE WHEN k % 9 = 0 THEN '1' ELSE concat(v, '') END AS s_price, concat(yr, '') AS s_year, CASE WHEN k % 8 = 0 THEN '7' ELSE concat(q, '500.0') END AS s_km,
+_STORED = """st AS (SELECT *, concat(k, lpad(concat('', n), 2, '0'), lpad(concat('', pk), 9, '0'), lpad(concat('', sk), 7, '0'), lpad(concat('', v), 10, '0')) AS listing_id, CASE WHEN k % 9 = 0 THEN '1' ELSE concat(v, '') END AS s_price, concat(yr, '') AS s_year, CASE WHEN k % 8 = 0 THEN '7' ELSE concat(q, '500.0') END AS s_km,
     concat(size * 10, '') AS s_cc, 'petrol' AS s_fuel, CASE WHEN n % 2 = 0 THEN 'Automatic' ELSE 'Manual' END AS s_gear FROM src)"""
 
 
 def stored_rows(t):
     rows = joined_line_items(t).selectExpr(*[f"{e} AS {n}" for e, n in _KEYS]).distinct()
     return rows.selectExpr(
-        "concat(k, '0', n, '0', pk, '0', sk) AS listing_id", "url AS source_url", "CASE WHEN k % 9 = 0 THEN '1' ELSE concat(v, '') END AS price_pkr",
+        "concat(k, lpad(concat('', n), 2, '0'), lpad(concat('', pk), 9, '0'), lpad(concat('', sk), 7, '0'), lpad(concat('', v), 10, '0')) AS listing_id", "url AS source_url", "CASE WHEN k % 9 = 0 THEN '1' ELSE concat(v, '') END AS price_pkr",
         "concat(yr, '') AS year", "CASE WHEN k % 8 = 0 THEN '7' ELSE concat(q, '500.0') END AS mileage_km", "concat(size * 10, '') AS engine_cc",
         "'petrol' AS fuel", "CASE WHEN n % 2 = 0 THEN 'Automatic' ELSE 'Manual' END AS transmission",
     )

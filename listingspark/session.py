@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages of markup are large rows; a Python worker holds one batch of them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 _LOCAL_ROOTS: dict[str, str] = {}
