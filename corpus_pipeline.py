@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm import base, line_dedup, simhash, toxicity
+from listingspark.llm import base, decontaminate, line_dedup, mixing, simhash, toxicity
 
 # Learned scores, fingerprints and suffix ranks have no counterpart in SQL.
 ORACLE_SQL = None
@@ -34,10 +34,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each_group(docs).select(*docs.columns)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was verified."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_contaminated(docs, items).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix with how often each is repeated; those the mix leaves out go."""
+    return mixing.mixed_documents(docs).where("repeats > 0")
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", cut_repeated_lines),
     ("near dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash, toxicity
+from . import decontaminate, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,15 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@register
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the benchmark items verified in them."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
