@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, simhash, toxicity
+from . import decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, simhash, toxicity, url_trust
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,26 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and the benchmark items verified in them."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_diff.main_text(table(spark, folder, "pages"))
+
+
+@register
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with personal values replaced by pseudonyms."""
+    return pii.pseudonymised(table(spark, folder, "documents")).select("doc_id", "text", F.size("pii").alias("n_values"), "pii")
+
+
+@register
+def op6_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the units that occur earlier, with the character ranges cut."""
+    kept = paragraphs.without_repeated_units(table(spark, folder, "documents"))
+    return kept.select("doc_id", "text", F.size("cuts").alias("n_cuts"), "cuts")
+
+
+@register
+def op7_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return url_trust.judge(table(spark, folder, "pages"))
