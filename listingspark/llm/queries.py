@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, simhash, toxicity, url_trust
+from . import ann, decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, simhash, toxicity, url_trust
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -71,3 +71,10 @@ def op6_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op7_url_trust(spark: SparkSession, folder: str) -> DataFrame:
     return url_trust.judge(table(spark, folder, "pages"))
+
+
+@register
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every row whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
