@@ -32,12 +32,17 @@ def hash_slot(digest: Column, slots: int) -> Column:
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row: column list, row count and a sum of row digests that ignores row order."""
+    """One row: column list, row count and sums of row digests that ignore row order.
+
+    Values are written with their length, so that no two different rows read alike, and a
+    null differs from every text. The four sums cover all 128 bits of the digests.
+    """
     names = list(columns or df.columns)
-    row = F.concat_ws("|", *[F.coalesce(F.col(name).cast("string"), F.lit("<null>")) for name in names])
-    part = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(20,0)")
-    return df.agg(
-        F.lit(",".join(names)).alias("columns"),
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string").alias("fingerprint"),
+    text = [F.col(name).cast("string") for name in names]
+    row = F.concat(*[F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")) for value in text])
+    hashed = df.select(F.md5(row).alias("__digest"))
+    quarter = [F.conv(F.substring("__digest", place, 8), 16, 10).cast("decimal(20,0)") for place in (1, 9, 17, 25)]
+    sums = [F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string") for part in quarter]
+    return hashed.agg(
+        F.lit(",".join(names)).alias("columns"), F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *sums).alias("fingerprint"),
     )

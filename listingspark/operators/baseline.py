@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import DEVELOPMENT
-from .ranking import grouped_median
+from .ranking import grouped_median, join_null_safe
 
 # Fallback levels, narrowest first.
 LEVELS = (("make", "model", "year"), ("make", "model"), ("make",), ())
@@ -60,7 +60,7 @@ def fit_medians(
 def predict_medians(rows: DataFrame, medians: DataFrame, *, levels=LEVELS) -> DataFrame:
     """Add ``predicted_pkr`` and the level that supplied it."""
     places = rows.select(*levels[0]).distinct()
-    return rows.join(_look_up(places, medians, [], levels), list(levels[0]))
+    return join_null_safe(rows, _look_up(places, medians, [], levels), levels[0])
 
 
 def out_of_fold_medians(
@@ -77,7 +77,7 @@ def out_of_fold_medians(
     weighted = pairs.withColumn("__fold", F.explode(others)).drop(fold).withColumnRenamed("__fold", fold)
     medians = _level_medians(weighted, [fold], target, min_group_size, levels)
     places = pairs.select(fold, *levels[0]).distinct()
-    return rows.join(_look_up(places, medians, [fold], levels), [fold, *levels[0]])
+    return join_null_safe(rows, _look_up(places, medians, [fold], levels), [fold, *levels[0]])
 
 
 def development_rows(rows: DataFrame, assignments: DataFrame, partition: str = DEVELOPMENT) -> DataFrame:

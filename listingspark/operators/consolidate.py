@@ -13,10 +13,13 @@ from .components import component_labels
 
 # Reasons and partition names of consolidated rows.
 HISTORY_CONFLICT = "historical_development_test_group_conflict"
+TIE_CONFLICT = "newest_observations_disagree"
 FAMILY_CONFLICT = "cross_batch_family_conflict"
 QUARANTINED = "quarantined"
 NEW = "new"
 
+# What tied newest observations must agree on.
+COMPARED_FIELDS = (*SPEC_FIELDS, "price_pkr", "source_checked_candidate")
 _SEPARATOR = "\x1f"
 
 
@@ -43,7 +46,7 @@ def with_batch(batches: dict[str, DataFrame], batch: str = "source_batch") -> Da
 def latest_observations(
     observations: DataFrame, *, id: str = "listing_id", time: str = "collected_at",
     batch: str = "source_batch", family: Sequence[str] = ("make", "model"),
-    compared: Sequence[str] = (*SPEC_FIELDS, "price_pkr"),
+    compared: Sequence[str] = COMPARED_FIELDS,
 ) -> DataFrame:
     """The newest row of every id; the smallest batch wins a tie.
 
@@ -53,6 +56,7 @@ def latest_observations(
     """
     newest_first = -F.unix_micros(F.col(time).cast("timestamp"))
     rest = [name for name in observations.columns if name not in (id, time, batch)]
+    compared = [name for name in compared if name in observations.columns]
     differing = [F.col(name) for name in compared]
     grouped = observations.groupBy(id).agg(
         F.min(F.struct(newest_first.alias("__age"), batch, time, *rest)).alias("__row"),
@@ -101,7 +105,7 @@ def component_verdicts(labels: DataFrame, history: DataFrame, *, id: str = "list
     )
     conflict = F.coalesce(F.col("__first") != F.col("__last"), F.lit(False))
     group = F.when(F.col("members") == 1, F.concat(F.lit("listing_"), "component")).otherwise(
-        F.concat(F.lit("linked_"), F.left(F.sha2(F.concat_ws(":", "component", "members"), 256), F.lit(12)))
+        F.concat(F.lit("linked_"), F.sha2(F.concat_ws(":", "component", "members"), 256))
     )
     return grouped.select(
         "component", "members", group.alias("group_id"),
@@ -112,12 +116,13 @@ def component_verdicts(labels: DataFrame, history: DataFrame, *, id: str = "list
 
 def consolidate_observations(
     observations: DataFrame, history: DataFrame, *, id: str = "listing_id",
-    fields: Sequence[str] = SPEC_FIELDS, compared: Sequence[str] = (*SPEC_FIELDS, "price_pkr"),
+    fields: Sequence[str] = SPEC_FIELDS, compared: Sequence[str] = COMPARED_FIELDS,
 ) -> DataFrame:
     """Latest row per id with its component's group, history and added exclusion reasons.
 
     Links are drawn over all versions before the latest row is chosen, so a changed mileage
-    cannot cut a listing off from its earlier group.
+    cannot cut a listing off from its earlier group. An id whose newest observations disagree
+    is no candidate.
     """
     labels = component_labels(history_links(observations, history, id=id, fields=fields), id, "link")
     verdicts = component_verdicts(labels, history, id=id)
@@ -127,6 +132,7 @@ def consolidate_observations(
         F.col("exclusion_reasons"),
         F.when(F.col("historical_partition") == QUARANTINED, F.lit(HISTORY_CONFLICT)),
         F.when(F.col("family_changed"), F.lit(FAMILY_CONFLICT)),
+        F.when(F.col("tie_conflict"), F.lit(TIE_CONFLICT)),
     )
     rows = rows.withColumn("exclusion_reasons", combined)
     clean = F.col("exclusion_reasons") == ""

@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import price_band
 from ..functions.text import family_name
-from .ranking import grouped_medians
+from .ranking import grouped_medians, join_null_safe
 
 ACTUAL, PREDICTED = "actual_pkr", "predicted_pkr"
 METRICS = ("count", "mae_pkr", "median_ae_pkr", "median_ape_pct", "rmse_pkr", "nonpositive_predictions")
 
 
-def metric_violations(predictions: DataFrame, actual: str = ACTUAL, predicted: str = PREDICTED) -> DataFrame:
-    """Rows no metric may be computed from: absent, not finite, or without a positive target."""
+def _unfit(actual: str, predicted: str) -> Column:
     finite = lambda name: F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")) & (
         F.abs(F.col(name).cast("double")) < F.lit(float("inf"))
     )
-    return predictions.where(~(finite(actual) & finite(predicted) & F.coalesce(F.col(actual) > 0, F.lit(False))))
+    return ~F.coalesce(finite(actual) & finite(predicted) & (F.col(actual) > 0), F.lit(False))
+
+
+def metric_violations(predictions: DataFrame, actual: str = ACTUAL, predicted: str = PREDICTED) -> DataFrame:
+    """Rows no metric may be computed from: absent, not finite, or without a positive target."""
+    return predictions.where(_unfit(actual, predicted))
 
 
 def regression_metrics(
@@ -29,24 +33,27 @@ def regression_metrics(
 ) -> DataFrame:
     """Count, mean and median errors, RMSE and non-positive predictions per group.
 
-    Keys must not be null. Exact medians come from the two-pass grouped median.
+    Null keys form a group. Exact medians come from the two-pass grouped median. A group with
+    a row that no metric may be computed from is refused: it keeps its count, its metrics are
+    null.
     """
     target, estimate = F.col(actual).cast("double"), F.col(predicted).cast("double")
     error = F.abs(estimate - target)
     errors = predictions.select(
         *keys, *([] if keys else [F.lit("all").alias("__all")]),
-        error.alias("__ae"), (100 * error / target).alias("__ape"), (estimate <= 0).alias("__low"),
+        error.alias("__ae"), F.try_divide(100 * error, target).alias("__ape"), (estimate <= 0).alias("__low"), _unfit(actual, predicted).alias("__unfit"),
     )
     by = list(keys) or ["__all"]
     moments = errors.groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"), F.avg("__ae").alias("mae_pkr"),
         F.sqrt(F.avg(F.col("__ae") * F.col("__ae"))).alias("rmse_pkr"),
-        F.count_if("__low").alias("nonpositive_predictions"),
+        F.count_if("__low").alias("nonpositive_predictions"), F.bool_or("__unfit").alias("__refused"),
     )
     medians = grouped_medians(errors, by, ["__ae", "__ape"])
-    return moments.join(medians, by).select(
-        *keys, "count", "mae_pkr", F.col("__ae").alias("median_ae_pkr"), F.col("__ape").alias("median_ape_pct"),
-        "rmse_pkr", "nonpositive_predictions",
+    allowed = lambda name, out: F.when(~F.col("__refused"), F.col(name)).alias(out)
+    return join_null_safe(moments, medians, by, "left").select(
+        *keys, "count", allowed("mae_pkr", "mae_pkr"), allowed("__ae", "median_ae_pkr"), allowed("__ape", "median_ape_pct"),
+        allowed("rmse_pkr", "rmse_pkr"), allowed("nonpositive_predictions", "nonpositive_predictions"),
     )
 
 
@@ -138,5 +145,5 @@ def unseen_flags(
             .where(F.col("__low") == F.col("__high"))
             .select(*columns, F.lit(True).alias(flag))
         )
-        result = result.join(exclusive, list(columns), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+        result = join_null_safe(result, exclusive, list(columns), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return result

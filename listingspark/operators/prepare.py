@@ -122,7 +122,7 @@ def group_reposts(rows: DataFrame, *, id: str = "listing_id", fields: Sequence[s
     )
     joined = keyed.join(shared, "__link", "left")
     repeated = F.col("__n").isNotNull()
-    group = F.when(repeated, F.concat(F.lit("suspected_"), F.left("__link", F.lit(12)))).otherwise(
+    group = F.when(repeated, F.concat(F.lit("suspected_"), "__link")).otherwise(
         F.concat(F.lit("listing_"), F.col(id).cast("string"))
     )
     noted: dict[str, Column] = {"group_id": group}

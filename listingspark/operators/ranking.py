@@ -23,6 +23,15 @@ VALUE_STEPS = 1024
 _CELL, _BEFORE, _TOTAL, _N = "__cell", "__before", "__total", "__n"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a null key equals a null key; keys come from the left."""
+    renamed = right.withColumnsRenamed({name: f"__right_{name}" for name in keys})
+    on = F.lit(True)
+    for name in keys:
+        on = on & F.col(name).eqNullSafe(F.col(f"__right_{name}"))
+    return left.join(renamed, on, how).drop(*[f"__right_{name}" for name in keys])
+
+
 def running_cells(cells: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add to each counted cell the rows before it and the rows of its whole group."""
     ahead = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -38,14 +47,14 @@ def rank_by_digest(
 ) -> DataFrame:
     """Position of each row in its group by (lead descending, digest, tie), counted from 1.
 
-    ``keys`` and ``lead`` must not be null. ``lead`` columns should take few values.
+    Null keys form groups like any other value. ``lead`` columns should take few values.
     """
     keyed = df.withColumn(_CELL, F.substring(digest, 1, DIGEST_CELL_DIGITS))
     cell_keys = [*keys, *lead, _CELL]
     counted = keyed.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias(_N))
     cells = running_cells(counted, keys, [*[F.desc(name) for name in lead], F.asc(_CELL)]).drop(_N)
     within = W.partitionBy(*cell_keys).orderBy(digest, tie)
-    ranked = keyed.join(cells, cell_keys).withColumns({
+    ranked = join_null_safe(keyed, cells, cell_keys).withColumns({
         rank: F.col(_BEFORE) + F.row_number().over(within),
         size: F.col(_TOTAL),
     })
@@ -80,7 +89,7 @@ def grouped_median(
         holds(low, F.col(_BEFORE), F.col(_N)) | holds(high, F.col(_BEFORE), F.col(_N))
     ).drop(_N)
     values = (
-        source.join(targets, [*keys, _CELL])
+        join_null_safe(source, targets, [*keys, _CELL])
         .groupBy(*keys, _CELL, "__value")
         .agg(F.sum("__weight").alias(_N), F.first(_BEFORE).alias(_BEFORE), F.first(_TOTAL).alias(_TOTAL))
     )

@@ -149,8 +149,8 @@ def versioned_dataset(t):
     return manifest.select("name", "rows")
 
 
-@query("s6_split_id", f"""WITH {c.TO_SPLIT} SELECT 'split_' || substr(sha256(concat_ws(':', count(*), cast(sum(('0x' || substr(md5(concat_ws('|', listing_id, group_id, partition,
-  coalesce(cast(validation_fold AS varchar), '<null>'))), 1, 8))::bigint) AS varchar))), 1, 12) AS split_id FROM assigned""")
+@query("s6_split_id", f"""WITH {c.TO_SPLIT} SELECT 'split_' || sha256(concat_ws(':', rows, fingerprint)) AS split_id
+  FROM ({c.fingerprint_sql(("listing_id", "group_id", "partition", "validation_fold"), "assigned")})""")
 def split_identity(t):
     return tables.split_id(c.assignments(t))
 

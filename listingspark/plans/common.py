@@ -35,7 +35,7 @@ def split_sql(population: str = "pop", prefix: str = "", phase: str = "developme
     CASE WHEN rk <= greatest(1, floor(fam_n * {FRACTION} + 0.5)) THEN 'demo_test' ELSE 'development' END AS partition FROM {p}res),
 {p}dealt AS (SELECT *, row_number() OVER (PARTITION BY make, model
       ORDER BY n DESC, sha256('{SEED}:{phase}:' || group_id), group_id) - 1 AS pos,
-    CAST('0x' || substr(sha256(make || ':' || model), 1, 7) AS BIGINT) % {FOLDS} AS off
+    CAST('0x' || substr(sha256(concat_ws(':', make, model)), 1, 7) AS BIGINT) % {FOLDS} AS off
   FROM {p}placed WHERE partition = 'development'),
 {p}asg AS (SELECT group_id, partition, CAST(((CASE WHEN (pos // {FOLDS}) % 2 = 0 THEN pos % {FOLDS}
       ELSE {FOLDS} - 1 - pos % {FOLDS} END) + off) % {FOLDS} AS INTEGER) AS validation_fold FROM {p}dealt
@@ -104,6 +104,13 @@ def metric_sql(actual: str = "actual_pkr", predicted: str = "predicted_pkr") ->
     ])
 
 
+def fingerprint_sql(columns, source: str) -> str:
+    """Rows and fingerprint of ``source`` as one row."""
+    row = " || ".join(f"coalesce(length({n}::varchar) || ':' || {n}::varchar, '-')" for n in columns)
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(h, {place}, 8))::bigint), 0)::varchar" for place in (1, 9, 17, 25))
+    return f"SELECT count(*) AS rows, concat_ws('-', {sums}) AS fingerprint FROM (SELECT md5({row}) AS h FROM {source})"
+
+
 _STAGES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 

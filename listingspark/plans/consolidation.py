@@ -72,7 +72,7 @@ def connected_components(t):
 
 _VERDICTS = """placed_labels AS (SELECT component, l.listing_id, partition, validation_fold FROM labels l LEFT JOIN history USING (listing_id)),
   verdicts AS (SELECT component, count(*) AS members, CASE WHEN count(*) = 1 THEN 'listing_' || component
-     ELSE 'linked_' || substr(sha256(concat_ws(':', component, count(*))), 1, 12) END AS group_id,
+     ELSE 'linked_' || sha256(concat_ws(':', component, count(*))) END AS group_id,
    CASE WHEN count(DISTINCT partition) > 1 THEN 'quarantined' ELSE coalesce(min(partition), 'new') END AS historical_partition,
    CASE WHEN count(DISTINCT partition) <= 1 THEN min(validation_fold) FILTER (WHERE partition = 'development') END AS historical_validation_fold
    FROM placed_labels GROUP BY 1)"""
@@ -85,10 +85,12 @@ def component_verdicts(t):
 
 _CONSOLIDATED = f"""{OBS}, {c.LATEST}, {_HISTORY}, {_LINKS}, {_LABELS}, {_VERDICTS},
   fam AS (SELECT listing_id, count(DISTINCT (make, model)) > 1 AS family_changed FROM obs GROUP BY 1),
+  ties AS (SELECT DISTINCT listing_id, true AS tie FROM (SELECT *, max(collected_at) OVER (PARTITION BY listing_id) AS newest FROM obs) WHERE collected_at = newest
+    GROUP BY listing_id HAVING count(DISTINCT ({', '.join(COMPARED)}, part_key % 13 <> 0 AND part_key % 11 <> 0)) > 1),
   cons0 AS (SELECT latest.*, v.group_id, v.historical_partition, v.historical_validation_fold,
     list_filter([CASE WHEN part_key % 13 = 0 THEN 'unresolved_variant' END, CASE WHEN v.historical_partition = 'quarantined' THEN 'historical_development_test_group_conflict' END,
-      CASE WHEN family_changed THEN 'cross_batch_family_conflict' END], lambda x: x IS NOT NULL) AS rs
-    FROM latest JOIN labels USING (listing_id) JOIN verdicts v USING (component) JOIN fam USING (listing_id)),
+      CASE WHEN family_changed THEN 'cross_batch_family_conflict' END, CASE WHEN tie THEN 'newest_observations_disagree' END], lambda x: x IS NOT NULL) AS rs
+    FROM latest JOIN labels USING (listing_id) JOIN verdicts v USING (component) JOIN fam USING (listing_id) LEFT JOIN ties USING (listing_id)),
   cons AS (SELECT * EXCLUDE (rs), array_to_string(list_sort(rs), ';') AS exclusion_reasons, len(rs) = 0 AS modeling_candidate,
     len(rs) = 0 AND part_key % 11 <> 0 AS source_checked_candidate FROM cons0)"""
 
@@ -100,7 +102,7 @@ def consolidated(t):
             "part_key % 13 <> 0 AS modeling_candidate", "part_key % 13 <> 0 AND part_key % 11 <> 0 AS source_checked_candidate",
         )
         # Ties between batches resolve by the same column order as the SQL.
-        return consolidate.consolidate_observations(flagged, history(t), fields=LINK_FIELDS, compared=COMPARED)
+        return consolidate.consolidate_observations(flagged, history(t), fields=LINK_FIELDS, compared=(*COMPARED, "source_checked_candidate"))
 
     return c.stage(t, "consolidated", build)
 

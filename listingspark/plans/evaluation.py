@@ -37,6 +37,34 @@ def median_levels(t):
     return c.rounded(baseline.fit_medians(c.development(t), min_group_size=c.MINIMUM)).select("level", "key", "median", "group_count")
 
 
+_GAPS = f"""{c.TO_DEV}, gaps AS (SELECT * REPLACE (CASE WHEN order_key % 5 = 0 THEN -1 ELSE year END AS year) FROM dev), {c.median_levels_sql('gaps', 'n')},
+  gp AS ({c.median_lookup_sql('gaps', 'n')})"""
+
+
+@query("m4_medians_without_year", f"WITH {_GAPS} SELECT listing_id, validation_fold AS fold, nullif(year, -1) AS year, {c.rounded_sql('predicted_pkr')} AS predicted_pkr, median_level FROM gp")
+def medians_without_year(t):
+    """Every row is predicted, also those that lack a year."""
+    rows = c.development(t).withColumn("year", F.expr("CASE WHEN order_key % 5 <> 0 THEN year END"))
+    predicted = baseline.out_of_fold_medians(rows, c.FOLDS, min_group_size=c.MINIMUM)
+    return c.rounded(predicted.select("listing_id", F.col("validation_fold").alias("fold"), "year", "predicted_pkr", "median_level"))
+
+
+@query("g1_refused_metrics", f"""WITH {c.TO_PRED}, faulty AS (SELECT * REPLACE (CASE WHEN year = 1996 AND family LIKE '%PROMO' THEN 'nan'::double WHEN year = 1997 AND family LIKE '%ECONOMY' THEN 'inf'::double ELSE predicted_pkr END AS predicted_pkr,
+    CASE WHEN year = 1998 AND family LIKE '%SMALL' THEN 0 ELSE actual_pkr END AS actual_pkr) FROM pred1)
+  SELECT family, count(*) AS count, CASE WHEN NOT bool_or(bad) THEN {c.rounded_sql('avg(e)')} END AS mae_pkr, CASE WHEN NOT bool_or(bad) THEN {c.rounded_sql('median(e)')} END AS median_ae_pkr,
+    CASE WHEN NOT bool_or(bad) THEN {c.rounded_sql('median(p)')} END AS median_ape_pct, CASE WHEN NOT bool_or(bad) THEN {c.rounded_sql('sqrt(avg(e * e))')} END AS rmse_pkr,
+    CASE WHEN NOT bool_or(bad) THEN count(*) FILTER (WHERE low) END AS nonpositive_predictions
+  FROM (SELECT family, bad, CASE WHEN NOT bad THEN abs(predicted_pkr - actual_pkr) END AS e, CASE WHEN NOT bad THEN 100 * abs(predicted_pkr - actual_pkr) / actual_pkr END AS p, predicted_pkr <= 0 AS low
+    FROM (SELECT *, NOT isfinite(predicted_pkr) OR actual_pkr <= 0 AS bad FROM faulty)) GROUP BY family""")
+def refused_metrics(t):
+    """Families with a prediction that is not finite or a target that is not positive are refused."""
+    faulty = c.baseline_predictions(t).withColumns({
+        "predicted_pkr": F.expr("CASE WHEN year = 1996 AND family LIKE '%PROMO' THEN double('NaN') WHEN year = 1997 AND family LIKE '%ECONOMY' THEN double('Infinity') ELSE predicted_pkr END"),
+        "actual_pkr": F.expr("CASE WHEN year = 1998 AND family LIKE '%SMALL' THEN 0 ELSE actual_pkr END"),
+    })
+    return c.rounded(metrics.regression_metrics(faulty, ["family"]))
+
+
 _UNSEEN = """seen AS (SELECT *, min(fold) OVER (PARTITION BY make, model, variant) = max(fold) OVER (PARTITION BY make, model, variant) AS unseen_variant,
     min(fold) OVER (PARTITION BY listing_city, year) = max(fold) OVER (PARTITION BY listing_city, year) AS unseen_city FROM pred1)"""
 
@@ -97,7 +125,7 @@ def _experiment_sql() -> str:
         )
         unions.append(f"""SELECT '{name}' AS experiment, listing_id, group_id, validation_fold AS fold, dev.make || ' ' || dev.model AS family, dev.make, dev.model, variant, dev.year,
           listing_city, price_pkr AS actual_pkr, coalesce({', '.join(f'{tag}{d}.md' for d in range(len(levels)))}) AS predicted_pkr FROM dev {joins}""")
-    return ",\n".join(parts) + ",\nexperiments AS (" + " UNION ALL ".join(unions) + ")"
+    return ",\n".join(parts) + ",\nexperiments AS MATERIALIZED (" + " UNION ALL ".join(unions) + ")"
 
 
 _EXPERIMENTS = f"{c.TO_DEV}, {_experiment_sql()}"
@@ -164,7 +192,7 @@ def changes(t):
 
 _MAE = {name: f"SELECT experiment, '{name}' AS dimension, {value} AS value, avg(abs(predicted_pkr - actual_pkr)) AS m, {c.metric_sql()} FROM experiments GROUP BY experiment, 3"
         for name, value in _CHANGE_DIMENSIONS.items()}
-_CHANGES = f"""sub AS ({' UNION ALL '.join(_MAE.values())}),
+_CHANGES = f"""sub AS MATERIALIZED ({' UNION ALL '.join(_MAE.values())}),
   chg AS (SELECT s.experiment, 'median' AS model, replace(replace(s.experiment, 'median_without_', ''), 'median_', '') AS removed, s.dimension, s.value, s.* EXCLUDE (experiment, dimension, value, m),
     s.m AS m, r.m AS rm FROM sub s JOIN sub r ON r.experiment = 'median_full' AND r.dimension = s.dimension AND r.value = s.value)"""
 
@@ -295,7 +323,7 @@ def gate_table(t):
 
 _QUALIFIED = f"""{c.TO_DEV}, inp AS (SELECT * REPLACE (CASE WHEN engine_cc > 10 THEN 1::bigint END AS engine_cc) FROM dev), {_SUPPORT}, {_LEDGER}, {_experiment_sql()}, {_PAIRED},
   served AS (SELECT paired.* FROM paired JOIN ledger USING (listing_id) WHERE r IS NULL), {_gate_sql('served', 1, 1)},
-  full_gate AS (SELECT * FROM gate UNION ALL SELECT pol.family || ': supported development groups', coalesce(n, 0)::double, 20::double, coalesce(n, 0) >= 20 FROM pol
+  full_gate AS MATERIALIZED (SELECT * FROM gate UNION ALL SELECT pol.family || ': supported development groups', coalesce(n, 0)::double, 20::double, coalesce(n, 0) >= 20 FROM pol
     LEFT JOIN (SELECT family, count(DISTINCT group_id) AS n FROM ledger JOIN inp USING (listing_id) WHERE r IS NULL GROUP BY 1) USING (family) WHERE pol.family <> 'overall')"""
 
 

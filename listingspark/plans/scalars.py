@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, numbers, reasons, text
 from .bindings import RAW, raw_export
+from . import common as c
 from .registry import query
 
 # Column expressions both engines evaluate, to give the functions varied input.
@@ -144,17 +145,21 @@ def reason_sets(t):
     return t.orders.select("o_orderkey", reasons.add(source, "late").alias("added"), reasons.remove(source, "late").alias("removed"))
 
 
-@query("s6_table_fingerprint", " UNION ALL ".join(f"""SELECT '{name}' AS name, '{','.join(columns)}' AS columns, count(*) AS rows,
-  cast(coalesce(sum(('0x' || substr(md5(concat_ws('|', {', '.join(f"coalesce(cast({c} AS varchar), '<null>')" for c in columns)})), 1, 8))::bigint), 0) AS varchar) AS fingerprint FROM {name}"""
-    for name, columns in (("nation", ("n_nationkey", "n_name", "n_regionkey")), ("part", ("p_partkey", "p_name", "p_brand", "p_type", "p_size")),
-                          ("lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")))))
+_PRINTED = {
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "lineitem": (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+        "l_linestatus", "l_shipdate",
+    ),
+}
+
+
+@query("s6_table_fingerprint", " UNION ALL ".join(
+    f"SELECT '{name}' AS name, '{','.join(columns)}' AS columns, rows, fingerprint FROM ({c.fingerprint_sql(columns, name)})" for name, columns in _PRINTED.items()))
 def table_fingerprints(t):
     parts = [
-        digests.table_fingerprint(df, columns).select(F.lit(name).alias("name"), "columns", "rows", "fingerprint")
-        for name, df, columns in (
-            ("nation", t.nation, ("n_nationkey", "n_name", "n_regionkey")),
-            ("part", t.part, ("p_partkey", "p_name", "p_brand", "p_type", "p_size")),
-            ("lineitem", t.lineitem, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")),
-        )
+        digests.table_fingerprint(getattr(t, name), columns).select(F.lit(name).alias("name"), "columns", "rows", "fingerprint")
+        for name, columns in _PRINTED.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

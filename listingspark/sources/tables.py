@@ -194,7 +194,7 @@ def verify_version(spark: SparkSession, target: str) -> None:
 def split_id(assignments: DataFrame) -> DataFrame:
     """Identifier of a split that depends on its content alone."""
     return table_fingerprint(assignments, ["listing_id", "group_id", "partition", "validation_fold"]).select(
-        F.concat(F.lit("split_"), F.left(F.sha2(F.concat_ws(":", "rows", "fingerprint"), 256), F.lit(12))).alias("split_id")
+        F.concat(F.lit("split_"), F.sha2(F.concat_ws(":", "rows", "fingerprint"), 256)).alias("split_id")
     )
 
 
