@@ -176,6 +176,23 @@ def assign_rows(rows: DataFrame, placed: DataFrame) -> DataFrame:
     ).select("listing_id", "group_id", "partition", "validation_fold")
 
 
+def splittable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups that can keep or get one place, and the refused groups with a reason.
+
+    A group is refused for a quarantined member, for several families or for several historical
+    places. Nothing is dropped: every group is on one of the two sides.
+    """
+    family, place = F.struct(*FAMILY), F.concat_ws(":", "historical_partition", "historical_validation_fold")
+    groups = rows.groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("historical_partition") == QUARANTINED).alias("__quarantined"),
+        (F.min(family) != F.max(family)).alias("__families"), (F.min(place) != F.max(place)).alias("__places"),
+    )
+    reason = F.when(F.col("__quarantined"), F.lit("quarantined_history")).when(F.col("__families"), F.lit("several_families")).when(
+        F.col("__places"), F.lit("several_locations"))
+    judged = groups.select("group_id", "rows", reason.alias("reason"))
+    return rows.join(judged.where("reason IS NULL"), "group_id", "left_semi"), judged.where("reason IS NOT NULL")
+
+
 def continued_splits(
     rows: DataFrame, *, seed: int = 42, test_fraction: float = 0.2, folds: int = 3,
     policy: str = "reserve_by_family", mode: str = "deal",

@@ -125,6 +125,17 @@ def strict_csv_scan(t):
     return rows
 
 
+@query("s1_refused_files", "SELECT 'o_orderstatus,o_custkey,o_orderkey' AS header, count(*) AS rows FROM orders WHERE o_orderkey % 3 = 0")
+def refused_files(t):
+    """Files of one folder whose header differs from the contract, with the rows they hold."""
+    folder = _folder(t, "csv")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    for kept, order in (("o_orderkey % 3 <> 0", columns), ("o_orderkey % 3 = 0", columns[::-1])):
+        t.orders.where(kept).select(*order).write.mode("append").option("header", True).csv(folder)
+    found = tables.csv_header_violations(t.spark, folder, columns)
+    return found.groupBy("header").agg(F.sum(F.col("lines") - 1).alias("rows"))
+
+
 @query("s4_reference_tables", """SELECT p_brand AS make, p_type AS model, p_name AS variant FROM part GROUP BY ALL""")
 def reference_tables(t):
     """Catalogue documents, one family each, written as JSON, flattened and validated."""

@@ -130,13 +130,15 @@ _ELIGIBLE = """elig0 AS (SELECT * FROM cons WHERE historical_partition <> 'quara
 
 
 def eligible(t):
-    rows = consolidated(t).where("historical_partition <> 'quarantined'")
-    family = F.struct("make", "model")
-    place = F.concat_ws(":", "historical_partition", "historical_validation_fold")
-    pure = rows.groupBy("group_id").agg(
-        (F.min(family) == F.max(family)).alias("one_family"), (F.min(place) == F.max(place)).alias("one_place")
-    ).where("one_family AND one_place")
-    return rows.join(pure, "group_id", "left_semi")
+    return splits.splittable(consolidated(t))[0]
+
+
+@query("p3_refused_groups", f"""{_REC}{_CONSOLIDATED} SELECT group_id, count(*) AS rows, CASE WHEN bool_or(historical_partition = 'quarantined') THEN 'quarantined_history'
+  WHEN count(DISTINCT (make, model)) > 1 THEN 'several_families' ELSE 'several_locations' END AS reason FROM cons GROUP BY 1
+  HAVING bool_or(historical_partition = 'quarantined') OR count(DISTINCT (make, model)) > 1 OR count(DISTINCT concat_ws(':', historical_partition, historical_validation_fold)) > 1""")
+def refused_groups(t):
+    """Every group that is not split, with the reason and its rows."""
+    return splits.splittable(consolidated(t))[1]
 
 
 @query("p3_continued_splits", f"""{_REC}{_CONSOLIDATED}, {_ELIGIBLE}, {c.split_sql('fresh', 'n')}

@@ -25,14 +25,30 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([first[0].lstrip("﻿")]), []) if first else []
 
 
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, header (its first line without a byte order mark) and lines of every CSV file below ``path``."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("place"),
+    )
+    first = F.min_by(F.when(F.col("start") == 0, F.col("value")), F.when(F.col("start") == 0, F.col("place")))
+    return lines.groupBy("file").agg(F.regexp_replace(first, "^\ufeff", "").alias("header"), F.count(F.lit(1)).alias("lines"))
+
+
+def csv_header_violations(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
+    """Files whose first line does not state exactly these columns in this order."""
+    plain = F.regexp_replace("header", '"', "")
+    return csv_files(spark, path).where(F.coalesce(plain != ",".join(header), F.lit(True)))
+
+
 def read_strict_csv(
-    spark: SparkSession, path: str, required: Sequence[str] = RAW_COLUMNS, *, multiline: bool = True,
+    spark: SparkSession, path: str, required: Sequence[str] = RAW_COLUMNS, *, multiline: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """All-text trimmed rows of a CSV export, and the rows whose shape is broken.
 
-    The header must name every required column once; every file must carry that header.
-    ``multiline`` accepts line breaks in quoted values, at the price of one task per file;
-    turn it off for exports without them so that large files split.
+    The header must name every required column once; a file with another header refuses the
+    whole folder. ``multiline`` accepts line breaks in quoted values, at the price of one task
+    per file.
     """
     header = csv_header(spark, path)
     missing = sorted(set(required) - set(header))
@@ -40,6 +56,9 @@ def read_strict_csv(
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
     if len(set(header)) != len(header):
         raise ValueError(f"{path}: duplicate column names")
+    refused = csv_header_violations(spark, path, header).select("file").first()
+    if refused:
+        raise ValueError(f"{refused['file']}: its header differs from the other files'")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _CORRUPT]])
     scanned = (
         spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("multiLine", multiline)
