@@ -167,3 +167,15 @@ def test_reference_check_notices_every_difference(spark):
     assert not ablation.check_reference(rows, rows.withColumn("predicted_pkr", F.col("predicted_pkr") + 0.02)).first()["passed"]
     assert ablation.check_reference(rows, rows.withColumn("fold", F.lit(0))).first()["location_differences"] == 1
     assert ablation.check_reference(rows, rows.limit(1)).first()["membership_differences"] == 1
+
+
+def test_no_row_vanishes_for_a_null_key(spark):
+    rows = spark.createDataFrame([(i, "m", "x", None if i % 5 == 0 else 2000 + i % 3, 100 + i, i % 3) for i in range(60)], "listing_id int, make string, model string, year int, price_pkr int, validation_fold int")
+    assert baseline.out_of_fold_medians(rows, 3).count() == 60
+    assert baseline.predict_medians(rows, baseline.fit_medians(rows)).count() == 60
+
+
+def test_unfit_rows_refuse_their_group(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, float("nan")), ("b", 1.0, 2.0), (None, 2.0, 2.0), ("c", 0.0, 1.0)], "g string, actual_pkr double, predicted_pkr double")
+    found = {r["g"]: (r["count"], r["mae_pkr"], r["median_ae_pkr"]) for r in metrics.regression_metrics(rows, ["g"]).collect()}
+    assert found == {"a": (2, None, None), "b": (1, 1.0, 1.0), None: (1, 0.0, 0.0), "c": (1, None, None)}

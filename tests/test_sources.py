@@ -19,7 +19,7 @@ def write(path, text):
 
 def test_strict_csv(spark, tmp_path):
     good = write(tmp_path / "a.csv", '﻿id,name\n1, x \n2,"say ""hi"", ok"\n3,"two\nlines"\n4,\n')
-    rows, broken = tables.read_strict_csv(spark, good, ["id", "name"])
+    rows, broken = tables.read_strict_csv(spark, good, ["id", "name"], multiline=True)
     assert {tuple(r) for r in rows.collect()} == {("1", "x"), ("2", 'say "hi", ok'), ("3", "two\nlines"), ("4", "")}
     assert broken.isEmpty()
     ragged = write(tmp_path / "b.csv", "id,name\n1,x\n2\n3,y,z\n")
@@ -31,6 +31,19 @@ def test_strict_csv(spark, tmp_path):
         tables.read_strict_csv(spark, write(tmp_path / "c.csv", "id,id\n1,2\n"), ["id"])
 
 
+def test_every_file_keeps_the_header(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write(folder / "a.csv", "a,b,c\n1,2,3\n")
+    write(folder / "b.csv", 'a,"b",c\n4,5,6\n')
+    assert tables.read_strict_csv(spark, str(folder), ["a"])[0].count() == 2
+    write(folder / "c.csv", "c,b,a\n7,8,9\n")
+    found = tables.csv_header_violations(spark, str(folder), ["a", "b", "c"]).collect()
+    assert [(r["header"], r["lines"]) for r in found] == [("c,b,a", 2)]
+    with pytest.raises(ValueError, match="header differs"):
+        tables.read_strict_csv(spark, str(folder), ["a"])
+
+
 def test_reference_documents(spark, tmp_path):
     path = write(tmp_path / "c.json", json.dumps({"catalogue_version": 1, "families": [
         {"make": "Honda", "model": "City", "variants": ["Aspire", "ASPIRE"]}, {"make": "Suzuki", "model": "Alto", "variants": []}]}))
