@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baseline, consolidate, metrics, splits
-from ..session import StageTables, path_exists
+from ..session import StageTables, _file_system, path_exists
 from .bindings import OBS, observations
 from .registry import Tables
 
@@ -111,7 +111,13 @@ def fingerprint_sql(columns, source: str) -> str:
     return f"SELECT count(*) AS rows, concat_ws('-', {sums}) AS fingerprint FROM (SELECT md5({row}) AS h FROM {source})"
 
 
-_STAGES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+_STAGES: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def _state_of(t: Tables) -> tuple:
+    """Names, sizes and times of the folder's tables: changed data never meets an old stage."""
+    location, files = _file_system(t.spark, t.folder)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(location)))
 
 
 def stage(t: Tables, name: str, build) -> DataFrame:
@@ -120,18 +126,21 @@ def stage(t: Tables, name: str, build) -> DataFrame:
     Consolidated rows, split groups and predictions feed several branches of every plan
     after them; as tables they are computed once and have exact sizes.
     """
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    key = (t.spark.sparkContext.applicationId, t.folder, _state_of(t), name)
     if key in _STAGES:
         path, table = _STAGES[key]
         if path_exists(t.spark, path):
             return table
     tables = StageTables(t.spark, name)
-    _STAGES[key] = (f"{tables.root}/0000", tables.write(build()))
+    _STAGES[key] = (tables.root, tables.write(build()))
     return _STAGES[key][1]
 
 
 def forget_stages() -> None:
-    """Compute every artifact anew, as a timing run must."""
+    """Delete every artifact and compute it anew when asked for."""
+    for path, table in _STAGES.values():
+        location, files = _file_system(table.sparkSession, path)
+        files.delete(location, True)
     _STAGES.clear()
 
 
