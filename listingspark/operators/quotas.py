@@ -19,6 +19,10 @@ DUPLICATE, ALREADY_COMPLETE, REFRESH, NEW = "duplicate", "already_complete", "re
 UNMATCHED = "unmatched"
 
 
+# Positions of one range of a search queue.
+QUEUE_RANGE = 1024
+
+
 @dataclass(frozen=True)
 class Quota:
     """A named group, the family it expects (or any), and its limits."""
@@ -108,18 +112,28 @@ def select_for_quotas(candidates: DataFrame, quotas: Sequence[Quota], total_budg
     Groups take turns in plan order, each in discovery order, until the group's target of
     complete matching rows or its budget is reached, and until the total budget is spent.
     ``candidates`` hold (search_group, position, listing_id, complete, matches), one row per
-    id. The bounded rank is limited before the shuffle, so a dominant group moves at most
-    its budget per partition.
+    id. A group's queue is cut into ranges of positions whose rows are counted first, so
+    ranges beyond the largest budget are never moved and no budget makes one task order a
+    whole group.
     """
     check_plan(quotas)
     if total_budget < 1:
         raise ValueError("total_budget must be positive")
-    queue = W.partitionBy("search_group").orderBy("position")
     most = max(quota.budget for quota in quotas)
-    known = candidates.where(F.col("search_group").isin(*[quota.name for quota in quotas]))
-    ranked = known.withColumn("round", F.row_number().over(queue)).where(F.col("round") <= most)
+    hit = (F.col("complete") & F.col("matches")).cast("int")
+    known = candidates.where(F.col("search_group").isin(*[quota.name for quota in quotas])).withColumn(
+        "__range", F.floor(F.col("position") / QUEUE_RANGE))
+    ahead = W.partitionBy("search_group").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    counted = known.groupBy("search_group", "__range").agg(F.count(F.lit(1)).alias("__n"), F.sum(hit).alias("__hits"))
+    ranges = counted.select(
+        "search_group", "__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__rows"),
+        F.coalesce(F.sum("__hits").over(ahead), F.lit(0)).alias("__done"),
+    ).where(F.col("__rows") < most)
+    queue = W.partitionBy("search_group", "__range").orderBy("position")
     before = queue.rowsBetween(W.unboundedPreceding, -1)
-    fulfilled = F.coalesce(F.sum((F.col("complete") & F.col("matches")).cast("int")).over(before), F.lit(0))
+    joined = known.join(ranges, ["search_group", "__range"])
+    ranked = joined.withColumn("round", (F.col("__rows") + F.row_number().over(queue)).cast("int")).where(F.col("round") <= most)
+    fulfilled = F.col("__done") + F.coalesce(F.sum(hit).over(before), F.lit(0))
     start = _by_group(quotas, lambda quota: (already or {}).get(quota.name, 0))
     open_ = (F.col("round") <= _by_group(quotas, lambda quota: quota.budget)) & (
         start + F.col("__fulfilled") < _by_group(quotas, lambda quota: quota.target)
@@ -127,7 +141,8 @@ def select_for_quotas(candidates: DataFrame, quotas: Sequence[Quota], total_budg
     taken = ranked.withColumn("__fulfilled", fulfilled).where(open_)
     order = {quota.name: place for place, quota in enumerate(quotas)}
     turn = _by_group(quotas, lambda quota: order[quota.name])
-    return taken.withColumn("__turn", turn).orderBy("round", "__turn").limit(total_budget).drop("__fulfilled", "__turn")
+    return taken.withColumn("__turn", turn).orderBy("round", "__turn").limit(total_budget).drop(
+        "__fulfilled", "__turn", "__range", "__rows", "__done")
 
 
 def batch_summary(rows: DataFrame, fields: Sequence[str] = ()) -> DataFrame:

@@ -81,12 +81,18 @@ def latest_state(
 
 
 def compact(spark: SparkSession, path: str, *, id: str = "listing_id", time: str = "collected_at", batch: str = "source_batch") -> None:
-    """Fold all tables into one base named after the newest delta it contains."""
+    """Fold all tables into one base named after the newest delta it contains, then delete them.
+
+    Run it while nothing reads the state.
+    """
     tables = _tables(spark, path)
     deltas = [table for table in tables if "/delta/" in table]
     if deltas:
         newest = deltas[-1].rsplit("/", 1)[1]
         latest_state(spark, path, id=id, time=time, batch=batch).write.mode("overwrite").parquet(f"{path}/base/{newest}")
+        for table in tables:
+            location, files = _file_system(spark, table)
+            files.delete(location, True)
 
 
 def arrival_counts(state: DataFrame) -> DataFrame:
