@@ -28,8 +28,8 @@ _CHECK_EVERY = 8
 _WORDS_AT_ONCE = 1 << 16
 
 
-def simhash(text: bytes | None, shingle: int, width: int) -> bytes:
-    """Fingerprint of one UTF-8 text; zero for a text without words."""
+def simhash(text: bytes | None, shingle: int, width: int, distinct: bool = False) -> bytes:
+    """Fingerprint of one UTF-8 text; zero for a text without words. ``distinct`` counts each shingle once."""
     words = text.lower().split() if text else []
     if not words:
         return bytes(width // 8)
@@ -38,7 +38,7 @@ def simhash(text: bytes | None, shingle: int, width: int) -> bytes:
     starts = [0, *ends[: len(words) - shingle]] if len(words) > shingle else [0]
     stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
-    parts = [hashes]
+    parts = [np.unique(hashes) if distinct else hashes]
     for _ in range(width // 64 - 1):
         mixed = (parts[-1] ^ (parts[-1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         parts.append(mixed ^ (mixed >> np.uint64(29)))
@@ -51,15 +51,16 @@ def simhash(text: bytes | None, shingle: int, width: int) -> bytes:
     return out
 
 
-def fingerprint(text: str | Column, *, shingle: int = 3, width: int = 64) -> Column:
+def fingerprint(text: str | Column, *, shingle: int = 3, width: int = 64, distinct: bool = False) -> Column:
     """Binary fingerprint of the whole text: lower-cased A-Z, words between ASCII white space.
 
-    Repeated shingles count; a text with fewer words is one shingle. Null texts have no words.
+    Repeated shingles count unless ``distinct``; a text with fewer words is one shingle. Null texts
+    have no words.
     """
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, shingle, width) for t in texts])
+        return pd.Series([simhash(t, shingle, width, distinct) for t in texts])
 
     return of((F.col(text) if isinstance(text, str) else text).cast("binary"))
 
@@ -263,11 +264,11 @@ def grouped_fingerprints(marked: DataFrame, *, radius: int, blocking: Blocking |
 def one_of_each_group(docs: DataFrame, *, shingle: int = 5, width: int = 128, radius: int = 26, blocking: Blocking | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest id, then the smallest text hash.
 
-    The radius stands for a similarity of 0.8 of five-word shingle sets: sets of that
+    The radius stands for a similarity of 0.8 of five-word shingle sets (each shingle once): sets of that
     resemblance differ in 19.4 of 128 bits on average, with a deviation of 4.1. All columns are
     kept. A null id is used only where a group has no other; texts without words are one group.
     """
-    marked = docs.select("doc_id", F.xxhash64(F.col("text")).alias("dig"), fingerprint("text", shingle=shingle, width=width).alias("fp"))
+    marked = docs.select("doc_id", F.xxhash64(F.col("text")).alias("dig"), fingerprint("text", shingle=shingle, width=width, distinct=True).alias("fp"))
     marked = staged(marked, "group-fingerprints")
     grouped = grouped_fingerprints(marked, radius=radius, blocking=blocking or sampled(width, 12, 24))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("dig").alias("c"))
