@@ -191,6 +191,12 @@ def test_common_subsequence_is_longest():
         assert all(any(a[i] == y for y in at) for i in found)
 
 
+def test_names_of_elements_tell_noise():
+    kept = lambda html: [x.text for x in html_diff.lines_of(html) if not x.noise]
+    assert kept("<article class='post has-sidebar'><p>a</p><ol class='commentlist'><li>b</ol><div class='post-content with-ads'>c</div></article>") == ["a", "c"]
+    assert kept("<div id=sideBar>x</div><div role=alert>y</div><article class='comment'>z</article><p hidden>h</p><p>k<span style='display: none'>q</span></p>") == ["k"]
+
+
 def page(body, article=True):
     inner = f"<article><header><h1>Title</h1></header>{body}<div class='comments'><p>nice</p></div></article>" if article else f"<div>{body}</div>"
     return f"<html><head><title>t</title></head><body><header>Site</header><nav><a href='/a'>Home</a></nav><p>Our motto here</p>{inner}<form>Mail <input></form><footer>&copy; us</footer><script>var t='</p>';</script></body></html>"
