@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 CHOSEN = (
     "q1_integrity_issues", "q8_prepared_rows", "q14_manual_review", "q19_consolidated_rows", "p2_fold_assignment", "p3_continued_splits",
     "g2_subgroup_metrics", "g5_removal_verdicts", "g11_development_qualification", "e3_title_and_year", "e15_source_reconciliation",
-    "q21_quota_selection", "st1_incremental_ingest",
+    "q21_quota_selection", "st1_incremental_ingest", "g1_refused_metrics", "p2_missing_families",
 )
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are absent")
