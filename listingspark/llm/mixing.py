@@ -118,8 +118,8 @@ def thresholds(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     # What is left goes to the documents at the threshold itself when most of them fits.
     at = narrow.join(open_.select(F.col("source").alias("s"), "prefix"), (F.col("source").eqNullSafe(F.col("s"))) & (F.col("__place") == F.col("prefix")))
     edge = at.groupBy("s").agg(F.sum("size").alias("edge"))
-    limits = open_.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    limits = stages.write(open_.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"),
         (F.col("prefix") + F.when(F.col("rest") * 2 >= F.coalesce("edge", F.lit(0)), 1).otherwise(0)).alias("__limit"),
-    )
+    ))
     return narrow, limits
