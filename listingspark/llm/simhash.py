@@ -3,8 +3,9 @@
 Distinct fingerprints meet in buckets of equal bit positions. A bucket is turned into bit planes
 (one 64-bit word holds the same bit of 64 fingerprints); one fingerprint is compared with 64 others
 at once by adding its differing planes into carry-save counters, and words whose 64 distances all
-exceed the radius are abandoned. Buckets above a size limit are split by further bits, level by
-level. A bucket returns a spanning forest of its links, never all pairs.
+exceed the radius are abandoned. Buckets above a size limit are split without loss: those of
+pigeonhole tables by further bits, level by level, those of sampled tables into blocks of which each
+meets each. A bucket returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -67,10 +68,13 @@ def fingerprint(text: str | Column, *, shingle: int = 3, width: int = 64, distin
 
 @dataclass(frozen=True)
 class Blocking:
-    """Bit positions whose equality puts fingerprints into one bucket, level by level."""
+    """Bit positions whose equality puts fingerprints into one bucket, level by level.
+
+    Without ``refine`` there are no further levels and crowded buckets are dealt into blocks.
+    """
 
     tables: tuple[tuple[int, ...], ...]
-    refine: object = field(compare=False)
+    refine: object = field(default=None, compare=False)
 
     def next_level(self) -> Blocking:
         return Blocking(tuple(further for t in self.tables for further in self.refine(t)), self.refine)
@@ -92,13 +96,7 @@ def pigeonhole(width: int, radius: int) -> Blocking:
 def sampled(width: int, bits: int, tables: int, seed: int = 42) -> Blocking:
     """Random positions: a pair that differs in a share d of bits meets with 1-(1-(1-d)^bits)^tables."""
     random = np.random.default_rng(seed)
-
-    def refine(used: tuple[int, ...]) -> list[tuple[int, ...]]:
-        rest = np.setdiff1d(np.arange(width), used)
-        more = np.random.default_rng(sum(used)).permutation(rest)[:bits]
-        return [used + tuple(int(p) for p in more)]
-
-    return Blocking(tuple(tuple(int(p) for p in random.permutation(width)[:bits]) for _ in range(tables)), refine)
+    return Blocking(tuple(tuple(int(p) for p in random.permutation(width)[:bits]) for _ in range(tables)))
 
 
 def _matrix(values) -> np.ndarray:
@@ -207,22 +205,38 @@ def _forest(radius: int):
     return link
 
 
+def block_pairs(rows: DataFrame, place: Column, blocks: Column) -> DataFrame:
+    """Each row once for each pair of blocks (``low``, ``high``) its own takes part in.
+
+    A single block makes the pair (0, 0); of more, each meets each other one.
+    """
+    own = F.pmod(place, blocks).cast("int")
+    dealt = rows.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    dealt = dealt.where((F.col("__own") != F.col("__other")) | (blocks == 1))
+    return dealt.withColumn("low", F.least("__own", "__other")).withColumn("high", F.greatest("__own", "__other")).drop("__own", "__other")
+
+
 def links(fps: DataFrame, *, radius: int, blocking: Blocking, limit: int = 16_384) -> DataFrame:
     """Spanning links of distinct fingerprints (column ``fp``): fp, root; both ends share a component.
 
     A bucket with more than ``limit`` fingerprints is never gathered: its members are dealt to the
-    smaller buckets of the next level, until none is left.
+    smaller buckets of the next level, until none is left, or into blocks of half the limit where
+    there is no next level, and each two blocks are compared.
     """
     stages = StageTables(fps.sparkSession, "simhash")
     found, rows = None, fps
     while True:
         keyed = stages.write(rows.mapInPandas(_keys(blocking.tables), "path int, key binary, fp binary"))
-        crowded = stages.write(keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("path", "key"))
+        crowded = stages.write(keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
         bucket = keyed.join(crowded, ["path", "key"], "left_anti").groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         pairs = stages.write(bucket.select("fps").mapInPandas(_forest(radius), "fp binary, root binary"))
         found = pairs if found is None else found.unionByName(pairs)
         if crowded.isEmpty():
             return found
+        if blocking.refine is None:
+            blocks = block_pairs(keyed.join(crowded, ["path", "key"]), F.xxhash64("fp"), F.ceil(F.col("n") * 2 / limit))
+            pairs = blocks.groupBy("path", "key", "low", "high").agg(F.collect_list("fp").alias("fps"))
+            return found.unionByName(stages.write(pairs.select("fps").mapInPandas(_forest(radius), "fp binary, root binary")))
         deeper = blocking.next_level()
         if deeper.tables == blocking.tables:
             raise ValueError("fingerprints are not distinct")

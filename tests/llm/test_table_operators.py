@@ -75,6 +75,23 @@ def test_crowded_buckets_are_split_without_losing_links(spark):
     assert label == groups
 
 
+def test_crowded_sampled_buckets_keep_all_links(spark):
+    r = random.Random(12)
+    pairs = []
+    for _ in range(150):
+        f = r.getrandbits(124)  # the first four bits are equal in all
+        g = f
+        for b in r.sample(range(124), 20):
+            g ^= 1 << b
+        pairs.append((f, g))
+    table = spark.createDataFrame([(f.to_bytes(16, "big"),) for p in pairs for f in p], "fp binary")
+    blocking = simhash.Blocking(((0, 1, 2, 3),), simhash.sampled(128, 12, 1).refine)
+    found = simhash.links(table, radius=20, blocking=blocking, limit=40).collect()
+    got = {(int.from_bytes(x["fp"], "big"), int.from_bytes(x["root"], "big")) for x in found}
+    assert all((a, b) in got or (b, a) in got for a, b in pairs)
+    assert all(a == b or (a ^ b).bit_count() <= 20 for a, b in got)
+
+
 def test_bit_sliced_pairs_match_brute_force():
     r = np.random.default_rng(4)
     sizes = np.array([2, 70, 1, 130, 5])
