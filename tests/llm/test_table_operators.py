@@ -122,6 +122,43 @@ def test_one_of_each_group_stays(spark):
         assert frame.isEmpty() or sorted(r["doc_id"] for r in out.select("doc_id").collect()) == [1, 2, 2, 3, 4, 5, 6, 7, 8, 20, 30, 31]
 
 
+def copies(r, number, share):
+    """Pairs of texts whose five-word shingles have about the given similarity, and each exact one."""
+    out = []
+    for i in range(number):
+        a = [f"w{r.randrange(10**9)}" for _ in range(200)]
+        b = a[: round(392 * share / (1 + share)) + 4]
+        b += [f"x{r.randrange(10**9)}" for _ in range(200 - len(b))]
+        x, y = ({tuple(w[k : k + 5]) for k in range(196)} for w in (a, b))
+        out.append((" ".join(a), " ".join(b), len(x & y) / len(x | y)))
+    return out
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    r = random.Random(13)
+    pairs = [p for share in (0.5, 0.6, 0.7, 0.78, 0.82, 0.9) for p in copies(r, 60, share)]
+    rows = [document(2 * i + side, p[side]) for i, p in enumerate(pairs) for side in (0, 1)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for options in ({}, {"block": 2, "block_shingles": 300}):
+        kept = {x["doc_id"] for x in simhash.one_of_each_group(frame, **options).collect()}
+        assert {2 * i for i in range(len(pairs))} <= kept
+        near = {2 * i + 1 for i, p in enumerate(pairs) if p[2] >= 0.8}
+        assert not {2 * i + 1 for i in range(len(pairs))} - near - kept and len(near & kept) <= 1 and len(near) == 120
+
+
+def test_similar_sets_match_brute_force():
+    r = np.random.default_rng(14)
+    for _ in range(40):
+        sets = [np.unique(r.choice(12, r.integers(1, 12))).astype(np.uint64) for _ in range(25)]
+        label, members = list(range(25)), [set(x.tolist()) for x in sets]
+        for _ in range(25):
+            for i in range(25):
+                for j in range(25):
+                    if len(members[i] & members[j]) * 5 >= 4 * len(members[i] | members[j]):
+                        label[i] = label[j] = min(label[i], label[j])
+        assert simhash.similar_sets(sets, (4, 5)).tolist() == label
+
+
 def brute_targets(sizes):
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     left, target, open_ = 1.5 * sum(sizes.values()), {}, set(sizes)
