@@ -52,18 +52,20 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     return links.select("src", target.alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, among: str = "src") -> DataFrame:
     """Rank of every host that seeds reach: host, rank. ``seeds`` has host and weight.
 
     Each round is a join and a combined sum over edges, written to the checkpoint folder. The
     weight still on its way shrinks by ``damping`` in each round, so the number of rounds follows
     from the tolerance and not from the data; a round in which nothing moves ends it. Weight
     that reaches a host without links returns to no one. Ranks are not divided by their sum, so a
-    seed without links keeps its own weight.
+    seed without links keeps its own weight. ``among`` "src" shares a host's amount among the hosts
+    it passes it to; "dst" gives each receiver the mean of all that pass to it, which doesn't
+    shrink with their number of receivers.
     """
     stages = StageTables(edges.sparkSession, "host-rank")
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    weighed = stages.write(edges.join(degree, "src"))
+    degree = edges.groupBy(among).agg(F.count("*").alias("degree"))
+    weighed = stages.write(edges.join(degree, among))
     moving = stages.write(seeds.where("weight > 0").select("host", F.col("weight").alias("amount")))
     done, left = moving.select("host", F.col("amount").alias("rank")), 1.0
     while left > tolerance:
@@ -81,7 +83,8 @@ def judge(pages: DataFrame, *, rules=RULES, threshold: float = -0.5) -> DataFram
     """page_id, host, path, rule, verdict, trust, distrust for each row of ``pages``.
 
     Trust flows along links from hosts with allowed pages, distrust against links from hosts
-    with blocked pages: who links to a blocked host is suspect. A seed weighs the share of its
+    with blocked pages: who links to a blocked host is suspect by the share of its own links that
+    go to such hosts, however many others link there too. A seed weighs the share of its
     pages that fit such rules. A page without a rule is blocked when its host's trust minus its distrust
     lies below ``threshold``, so hosts that nothing reaches are allowed. A rule always decides
     over the graph. Empty and null urls fit no rule and take no part in the graph.
@@ -96,7 +99,7 @@ def judge(pages: DataFrame, *, rules=RULES, threshold: float = -0.5) -> DataFram
     seeds = stages.write(ruled.where("host <> ''").groupBy("host").agg(share("allow"), share("block")))
     trust = personalised_rank(edges, seeds.select("host", F.col("allow").alias("weight"))).select("host", F.col("rank").alias("trust"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = personalised_rank(back, seeds.select("host", F.col("block").alias("weight"))).select("host", F.col("rank").alias("distrust"))
+    distrust = personalised_rank(back, seeds.select("host", F.col("block").alias("weight")), among="dst").select("host", F.col("rank").alias("distrust"))
     known = trust.join(distrust, "host", "full")
     joined = ruled.join(known, "host", "left")
     trusted, distrusted = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))

@@ -290,6 +290,15 @@ def test_rules_and_trust(spark):
     assert url_trust.judge(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_distrust_does_not_shrink_with_many_in_links(spark):
+    link = lambda *h: "".join(f'<a href="http://{x}/">l</a>' for x in h)
+    rows = [(0, "http://evil.com/de/1", "")] + [(i, f"http://n{i}.net/", link("evil.com")) for i in range(1, 31)]
+    rows += [(40, "http://far.net/", link("n1.net")), (41, "http://mixed.net/", link("evil.com", "a.net", "b.net", "c.net"))]
+    out = {r["page_id"]: r for r in url_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i]["verdict"] == "block" and abs(out[i]["distrust"] - 0.85) < 1e-9 for i in range(1, 31))
+    assert out[40]["verdict"] == "block" and out[41]["verdict"] == "allow"
+
+
 def test_rank_matches_power_iteration(spark):
     r = random.Random(11)
     edges = {(a, b) for a in range(12) for b in r.sample(range(12), 3) if a != b}
