@@ -83,17 +83,13 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """Area and exchange do not start with 0: 900 * 900 * 10000 numbers."""
+    """All ten digits: 10**5 * 10**5 numbers. A country digit before them stays."""
     d = _digits(value)
     local = F.right(d, F.lit(10))
-    part = lambda a, n: F.substr(local, F.lit(a), F.lit(n)).cast("long")
-    number = ((part(1, 3) - 100) * 900 + part(4, 3) - 100) * 10_000 + part(7, 4)
-    p = permuted(F.floor(number / 90_000), number % 90_000, F.lit(90_000), F.lit(90_000), key, "phone")
-    made = p["l"] * 90_000 + p["r"]
-    area, exchange = F.floor(made / 9_000_000) + 100, F.floor(made / 10_000) % 900 + 100
-    text = F.concat(area.cast("string"), exchange.cast("string"), F.lpad((made % 10_000).cast("string"), 4, "0"))
-    country = F.substr(d, F.lit(1), F.length(d) - 10)
-    return F.when(F.rlike(local, F.lit("^[1-9]..[1-9]")), _laid_out(value, F.concat(country, text)))
+    half = lambda at: F.substr(local, F.lit(at), F.lit(5)).cast("long")
+    p = permuted(half(1), half(6), F.lit(100_000), F.lit(100_000), key, "phone")
+    text = F.concat(F.lpad(p["l"].cast("string"), 5, "0"), F.lpad(p["r"].cast("string"), 5, "0"))
+    return _laid_out(value, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), text))
 
 
 def _ssn(value: Column, key: str) -> Column:

@@ -147,6 +147,13 @@ def test_pseudonyms_keep_formats_and_links(spark):
         assert pii.pseudonymised(frame).count() == frame.count()
 
 
+def test_every_phone_number_is_replaced(spark):
+    numbers = spark.range(3000).select("id", F.format_string("+1 (%03d) %03d-7713", F.col("id") % 150, F.floor(F.col("id") / 150)).alias("text"))
+    out = pii.pseudonymised(numbers).select("text", F.size("pii").alias("n"), F.col("id")).join(numbers.withColumnRenamed("text", "was"), "id").collect()
+    assert all(r["n"] == 1 and r["text"] != r["was"] for r in out) and len({r["text"] for r in out}) == 3000
+    assert all(r["text"][:4] == "+1 (" and r["text"][7:9] == ") " and r["text"][12] == "-" and len(r["text"]) == 17 for r in out)
+
+
 def test_pseudonyms_are_permutations(spark):
     numbers = spark.range(3000).select(F.concat(F.lit("10.0."), F.floor(F.col("id") / 256), F.lit("."), F.col("id") % 256).alias("text"))
     assert pii.pseudonymised(numbers).select("text").distinct().count() == 3000
