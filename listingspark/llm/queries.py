@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, simhash, toxicity, url_trust
+from . import ann, bpe, decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, simhash, toxicity, url_trust
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -78,3 +79,17 @@ def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every row whose id is divisible by 50."""
     vectors = table(spark, folder, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@register
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again; the digests of its ids and of the decoded text."""
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id", bpe.encoded("text", vocabulary).alias("ids"))
+    texts = ids.select("doc_id", "ids", bpe.decoded("ids", vocabulary).alias("text"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return texts.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
