@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, simhash, toxicity, url_trust
+from . import ann, bpe, decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, prefix_trie, simhash, toxicity, url_trust
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,37 @@ def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@register
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie over conversations that share their first turns with the first of their five."""
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(table(spark, folder, "conversations"))))
+
+
+# The checksum of an id, bit by bit, then every prefix as a list of turns.
+SQL["op11_prefix_trie"] = """WITH RECURSIVE conv AS MATERIALIZED (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+checked AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+      lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END))) % 9 AS h FROM conv),
+seqs AS MATERIALIZED (SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+  FROM checked a LEFT JOIN conv b ON b.conv_id = a.conv_id - a.conv_id % 5),
+named AS (SELECT conv_id, turns, 0::BIGINT AS depth, sha256('') AS name, NULL::VARCHAR AS above FROM seqs
+  UNION ALL SELECT conv_id, turns, depth + 1,
+    sha256(name || len(turns[depth + 1].r) || ':' || turns[depth + 1].r || turns[depth + 1].t), name
+  FROM named WHERE depth < len(turns)),
+node AS MATERIALIZED (SELECT name, min(above) AS above, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * coalesce(min(CASE WHEN depth > 0 THEN strlen(turns[depth].t) END), 0) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+  FROM named GROUP BY name),
+children AS (SELECT above AS name, count(*) AS n FROM node WHERE depth > 0 GROUP BY above),
+counted AS MATERIALIZED (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN children USING (name)),
+within AS (SELECT name AS top, above, name AS at, saved, n_children FROM counted
+  UNION ALL SELECT up.name, up.above, w.at, w.saved, w.n_children FROM within w JOIN counted up ON up.name = w.above),
+total AS (SELECT top, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM within GROUP BY top)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves,
+  total.saved::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN total ON total.top = c.name LEFT JOIN counted p ON p.name = c.above"""
