@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, prefix_trie, simhash, toxicity, url_trust
+from . import ann, bpe, decontaminate, html_diff, line_dedup, mixing, paragraphs, pii, prefix_trie, simhash, toxicity, url_trust, whitening
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -101,6 +101,12 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(table(spark, folder, "conversations"))))
 
 
+
+@register
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 # The checksum of an id, bit by bit, then every prefix as a list of turns.
 SQL["op11_prefix_trie"] = """WITH RECURSIVE conv AS MATERIALIZED (
   SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
