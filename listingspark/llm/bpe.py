@@ -15,6 +15,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 # Fixed value: how the byte-level scheme cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)  # the rank of a pair that never merges
-SLICE = 1 << 20  # characters or tokens worked on at once, unless one text is longer
-KEPT = 1 << 24  # bytes of encoded words that a worker remembers
+SLICE = 1 << 20  # bytes or tokens worked on at once, unless one text is longer
+KEPT = 1 << 22  # bytes of encoded words that a worker remembers
 
 
 def byte_letters() -> list[str]:
@@ -184,9 +185,8 @@ def encoded(text: str | Column, vocabulary: Vocabulary) -> Column:
         encoder = Encoder(vocabulary)
         for texts in batches:
             parts: list[pa.Array] = []
-            values = [t or "" for t in texts.to_pylist()]
-            for low, high in _slices(map(len, values)):
-                found = encoder.encode(values[low:high])
+            for low, high in _slices(pc.binary_length(texts).fill_null(0).to_numpy()):
+                found = encoder.encode([t or "" for t in texts[low:high].to_pylist()])
                 ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
                 flat = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
                 parts.append(pa.ListArray.from_arrays(pa.array(ends), flat, mask=texts[low:high].is_null()))
@@ -204,8 +204,8 @@ def decoded(ids: str | Column, vocabulary: Vocabulary) -> Column:
 
     def decode(column: pa.Array) -> pa.Array:
         letters, starts, lengths = vocabulary.decoding
-        texts: list[str] = []
-        bounds = column.offsets.to_numpy()
+        parts: list[pa.Array] = []
+        bounds, absent = column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
         for low, high in _slices(np.diff(bounds)):
             flat = column.values[bounds[low] : bounds[high]].fill_null(-1).to_numpy(zero_copy_only=False)
             real = (flat >= 0) & (flat < len(lengths))
@@ -215,7 +215,8 @@ def decoded(ids: str | Column, vocabulary: Vocabulary) -> Column:
             source = np.repeat(starts[flat] - ends[:-1], size) + np.arange(ends[-1])
             run = letters[source].tobytes()
             at = ends[bounds[low : high + 1] - bounds[low]].tolist()
-            texts += [run[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
-        return pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
+            texts = [run[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+            parts.append(pa.array(texts, pa.string(), mask=absent[low:high]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return F.arrow_udf(decode, "string")(ids)
