@@ -2,9 +2,9 @@
 
 A plain ``row_number`` or ``percentile`` over a group pulls the whole group through a single
 task. Here every group is cut into *cells* whose order is known from the row itself (the first
-digits of a hash, or a logarithmic step of a value). Cell sizes are counted with map-side
+digits of a hash, or the leading bits of a number). Cell sizes are counted with map-side
 combining, their running totals are taken over the short table of cells, and only then are
-rows ordered, cell by cell.
+rows ordered, cell by cell. A middle cell that is still too large is cut again by its next bits.
 """
 
 from __future__ import annotations
@@ -15,10 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import StageTables
+
 # Leading hexadecimal digits of a digest that form a cell: 16**3 even cells per group.
 DIGEST_CELL_DIGITS = 3
-# Logarithmic steps per factor e: neighbouring cells differ by about 0.1 per cent.
-VALUE_STEPS = 1024
+# Bits of an ordered number left out of its cell, round by round: first its sign, exponent and ten
+# more bits (steps of 0.1 per cent), at last none, when a cell is a single number.
+CELL_SHIFTS = (42, 20, 0)
+# Most rows of a middle cell that are put in order at once.
+MIDDLE_ROWS = 1 << 20
+# Parts of a crowded cell that are counted apart.
+SALTS = 16
 
 _CELL, _BEFORE, _TOTAL, _N = "__cell", "__before", "__total", "__n"
 
@@ -61,44 +68,85 @@ def rank_by_digest(
     return ranked.drop(_CELL, _BEFORE, _TOTAL)
 
 
-def _value_cell(value: Column) -> Column:
-    step = F.floor(F.log1p(F.abs(value)) * VALUE_STEPS)
-    return F.when(value < 0, -step - 1).otherwise(step).cast("bigint")
+def ordered_bits(value: Column) -> Column:
+    """A double as a whole number of 64 bits in the same order; both zeros are 0, NaN is last.
+
+    The digits are those of the binary format: scaling by powers of two loses nothing.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    over = size / F.pow(F.lit(2.0), guess)  # between 1 and 2 but for a rounded logarithm
+    exponent = F.when(over >= 2, guess + 1).when(over < 1, guess - 1).otherwise(guess)
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)
+    normal = (exponent + 1023) * F.lit(1 << 52) + fraction.cast("bigint")
+    least = 2.0**-1022
+    bits = (
+        F.when(F.isnan(value), F.lit((2047 << 52) + 1)).when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < least, (size * 2.0**537 * 2.0**537).cast("bigint")).otherwise(normal)
+    )
+    return F.when(value < 0, -bits).otherwise(bits).cast("bigint")
+
+
+def _middle(before: str) -> tuple[Column, Column]:
+    """Whether rows that begin at ``before`` hold the lower and the upper middle position of their group."""
+    holds = lambda position: (F.col(before) <= position) & (position < F.col(before) + F.col(_N))
+    return holds(F.expr(f"({_TOTAL} - 1) div 2")), holds(F.expr(f"{_TOTAL} div 2"))
+
+
+def middle_cells(source: DataFrame, keys: Sequence[str], limit: int = MIDDLE_ROWS) -> tuple[DataFrame, int]:
+    """The one or two cells of each group that hold its middle positions, and the bits they leave out.
+
+    ``source`` has the keys, ``__bits`` and ``__weight``. Every round counts cells and keeps the middle
+    ones; only their rows are counted by further bits, dealt over salts, until no cell has more than
+    ``limit`` rows or a cell is one number. What a round keeps is a short written table.
+    """
+    stages = StageTables(source.sparkSession, "middle-cells")
+    known = None
+    count = (F.sum("__weight").alias(_N), F.count(F.lit(1)).alias("__rows"))
+    for at, shift in enumerate(CELL_SHIFTS):
+        cell = F.shiftright("__bits", shift)
+        if known is None:
+            cells = running_cells(source.groupBy(*keys, cell.alias(_CELL)).agg(*count), keys, [F.asc(_CELL)])
+        else:
+            dealt = known.select(*keys, F.col(_CELL).alias("__outer"), F.col(_BEFORE).alias("__base"), F.col(_TOTAL).alias("__all"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+            salted = source.withColumns({"__outer": F.shiftright("__bits", CELL_SHIFTS[at - 1]), "__salt": F.pmod(F.xxhash64("__bits"), F.lit(SALTS)).cast("int")})
+            inner = join_null_safe(salted, dealt, [*keys, "__outer", "__salt"])
+            counted = inner.groupBy(*keys, "__outer", cell.alias(_CELL)).agg(*count, F.first("__base").alias("__base"), F.first("__all").alias("__all"))
+            cells = running_cells(counted, [*keys, "__outer"], [F.asc(_CELL)])
+            cells = cells.withColumns({_BEFORE: F.col(_BEFORE) + F.col("__base"), _TOTAL: F.col("__all")})
+        low, high = _middle(_BEFORE)
+        known = stages.write(cells.where(low | high).select(*keys, _CELL, "__rows", _BEFORE, _TOTAL))
+        if (known.agg(F.max("__rows")).first()[0] or 0) <= limit:
+            break
+    return known, shift
 
 
 def grouped_median(
     df: DataFrame, keys: Sequence[str], value: str, *, weight: str | None = None,
-    median: str = "median", size: str = "group_count",
+    median: str = "median", size: str = "group_count", limit: int = MIDDLE_ROWS,
 ) -> DataFrame:
     """Exact interpolated median and size of every group; nulls are left out.
 
-    The first pass counts cells; the second keeps only rows of the one or two cells that
-    hold the middle positions, and orders the distinct values inside them.
+    Rounds of counting narrow each group to the cells of its middle positions. The last pass keeps
+    only rows of those and orders the distinct values inside them: at most ``limit`` rows, or
+    repeats of one value.
     """
     number = F.col(value).cast("double")
     amount = F.col(weight) if weight else F.lit(1).cast("bigint")
     source = df.where(F.col(value).isNotNull()).select(
-        *keys, number.alias("__value"), amount.alias("__weight"), _value_cell(number).alias(_CELL)
+        *keys, number.alias("__value"), amount.alias("__weight"), ordered_bits(number).alias("__bits")
     )
-    counted = source.groupBy(*keys, _CELL).agg(F.sum("__weight").alias(_N))
-    low = F.expr(f"({_TOTAL} - 1) div 2")
-    high = F.expr(f"{_TOTAL} div 2")
-    holds = lambda position, before, n: (before <= position) & (position < before + n)
-    cells = running_cells(counted, keys, [F.asc(_CELL)])
-    targets = cells.where(
-        holds(low, F.col(_BEFORE), F.col(_N)) | holds(high, F.col(_BEFORE), F.col(_N))
-    ).drop(_N)
+    targets, shift = middle_cells(source.drop("__value"), keys, limit)
     values = (
-        join_null_safe(source, targets, [*keys, _CELL])
+        join_null_safe(source.withColumn(_CELL, F.shiftright("__bits", shift)), targets, [*keys, _CELL])
         .groupBy(*keys, _CELL, "__value")
         .agg(F.sum("__weight").alias(_N), F.first(_BEFORE).alias(_BEFORE), F.first(_TOTAL).alias(_TOTAL))
     )
     inside = W.partitionBy(*keys, _CELL).orderBy("__value").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col(_BEFORE) + F.coalesce(F.sum(_N).over(inside), F.lit(0))
-    placed = values.withColumn("__start", start)
+    placed = values.withColumn("__start", F.col(_BEFORE) + F.coalesce(F.sum(_N).over(inside), F.lit(0)))
+    low, high = _middle("__start")
     middle = placed.groupBy(*keys).agg(
-        F.max(F.when(holds(low, F.col("__start"), F.col(_N)), F.col("__value"))).alias("__low"),
-        F.max(F.when(holds(high, F.col("__start"), F.col(_N)), F.col("__value"))).alias("__high"),
+        F.max(F.when(low, F.col("__value"))).alias("__low"), F.max(F.when(high, F.col("__value"))).alias("__high"),
         F.first(_TOTAL).alias(size),
     )
     return middle.select(*keys, ((F.col("__low") + F.col("__high")) / 2).alias(median), size)
