@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import DEVELOPMENT
+from ..session import StageTables
 from .ranking import grouped_median, join_null_safe
 
 # Fallback levels, narrowest first.
@@ -20,8 +21,12 @@ def _level_key(fields: Sequence[str]) -> Column:
 
 
 def _cells(rows: DataFrame, extra: Sequence[str], target: str, levels) -> DataFrame:
-    """Counted distinct (narrowest level, target) pairs: all that any level's median needs."""
-    return rows.groupBy(*extra, *levels[0], target).agg(F.count(F.lit(1)).alias("__w"))
+    """Counted distinct (narrowest level, target) pairs: all that any level's median needs.
+
+    Written once, as every round of the medians and the look-up start from them.
+    """
+    pairs = rows.groupBy(*extra, *levels[0], target).agg(F.count(F.lit(1)).alias("__w"))
+    return StageTables(rows.sparkSession, "counted-pairs").write(pairs)
 
 
 def _level_medians(weighted: DataFrame, extra: Sequence[str], target: str, minimum: int, levels) -> DataFrame:
