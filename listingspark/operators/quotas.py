@@ -21,6 +21,8 @@ UNMATCHED = "unmatched"
 
 # Positions of one range of a search queue.
 QUEUE_RANGE = 1024
+# Ranges of candidates without a position, after every position.
+_UNPLACED = 1 << 50
 
 
 @dataclass(frozen=True)
@@ -114,22 +116,24 @@ def select_for_quotas(candidates: DataFrame, quotas: Sequence[Quota], total_budg
     ``candidates`` hold (search_group, position, listing_id, complete, matches), one row per
     id. A group's queue is cut into ranges of positions whose rows are counted first, so
     ranges beyond the largest budget are never moved and no budget makes one task order a
-    whole group.
+    whole group. Candidates without a position come last, in the order of their id's digest.
     """
     check_plan(quotas)
     if total_budget < 1:
         raise ValueError("total_budget must be positive")
     most = max(quota.budget for quota in quotas)
     hit = (F.col("complete") & F.col("matches")).cast("int")
-    known = candidates.where(F.col("search_group").isin(*[quota.name for quota in quotas])).withColumn(
-        "__range", F.floor(F.col("position") / QUEUE_RANGE))
+    digest = F.md5(F.col("listing_id").cast("string"))
+    unplaced = _UNPLACED + F.conv(F.substring(digest, 1, 3), 16, 10).cast("bigint")
+    known = candidates.where(F.col("search_group").isin(*[quota.name for quota in quotas])).withColumns({
+        "__range": F.coalesce(F.floor(F.col("position") / QUEUE_RANGE), unplaced), "__digest": digest})
     ahead = W.partitionBy("search_group").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     counted = known.groupBy("search_group", "__range").agg(F.count(F.lit(1)).alias("__n"), F.sum(hit).alias("__hits"))
     ranges = counted.select(
         "search_group", "__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__rows"),
         F.coalesce(F.sum("__hits").over(ahead), F.lit(0)).alias("__done"),
     ).where(F.col("__rows") < most)
-    queue = W.partitionBy("search_group", "__range").orderBy("position")
+    queue = W.partitionBy("search_group", "__range").orderBy(F.asc_nulls_last("position"), "__digest")
     before = queue.rowsBetween(W.unboundedPreceding, -1)
     joined = known.join(ranges, ["search_group", "__range"])
     ranked = joined.withColumn("round", (F.col("__rows") + F.row_number().over(queue)).cast("int")).where(F.col("round") <= most)
@@ -142,7 +146,7 @@ def select_for_quotas(candidates: DataFrame, quotas: Sequence[Quota], total_budg
     order = {quota.name: place for place, quota in enumerate(quotas)}
     turn = _by_group(quotas, lambda quota: order[quota.name])
     return taken.withColumn("__turn", turn).orderBy("round", "__turn").limit(total_budget).drop(
-        "__fulfilled", "__turn", "__range", "__rows", "__done")
+        "__fulfilled", "__turn", "__range", "__rows", "__done", "__digest")
 
 
 def batch_summary(rows: DataFrame, fields: Sequence[str] = ()) -> DataFrame:

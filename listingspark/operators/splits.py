@@ -6,17 +6,18 @@ nor a changed price can move a group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..contracts import DEVELOPMENT, TEST_PARTITION
 from ..functions import digests
+from ..session import StageTables
 from .consolidate import NEW, QUARANTINED
-from .ranking import rank_by_digest
+from .ranking import join_null_safe, rank_by_digest
 
 # Phases that salt the ordering digest.
 TEST_PHASE = "test"
@@ -103,48 +104,91 @@ def _level_segments(loads: list[int], taken: list[bool], size: int, count: int,
     return segments
 
 
+SEGMENTS = (
+    "make string, model string, rows bigint, __first bigint, __last bigint, __cycle array<int>, __loads array<bigint>"
+)
+
+
+def _family_segments(folds: int, fresh: bool):
+    """One family's (group size, number of groups) as segments, in folds or, for a fresh split, in turns.
+
+    The last segment also carries what each fold holds in the end.
+    """
+
+    def place(frame: pd.DataFrame) -> pd.DataFrame:
+        loads, offset = [0] * folds, int(frame["offset"].iloc[0])
+        for fold, rows in zip(frame["fold"], frame["rows"]):
+            if fold >= 0:
+                loads[int(fold)] += int(rows)
+        taken, records = [not fresh] * folds, []
+        family = [frame[name].iloc[0] for name in FAMILY]
+        new = frame[frame["fold"] < 0].sort_values("rows", ascending=False)
+        for rows, count in zip(new["rows"], new["groups"]):
+            for first, last, cycle in _level_segments(loads, taken, int(rows), int(count), offset):
+                records.append([*family, int(rows), first, last, cycle, None])
+        if records:
+            records[-1][-1] = loads
+        return pd.DataFrame(records, columns=[*FAMILY, "rows", "__first", "__last", "__cycle", "__loads"])
+
+    return place
+
+
+def _family_turns(folds: int):
+    """Which fold takes each turn of a family: the one with the fewest rows of all families before it, then the first."""
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [0] * folds
+        for batch in batches:
+            orders = []
+            for loads in batch["__loads"]:
+                order = sorted(range(folds), key=lambda fold: (held[fold], fold))
+                for turn, fold in enumerate(order):
+                    held[fold] += int(loads[turn])
+                orders.append(order)
+            yield batch[list(FAMILY)].assign(__order=orders)
+
+    return follow
+
+
 def greedy_folds(
     groups: DataFrame, seed: int, folds: int, phase: str = DEVELOPMENT_PHASE, loads: DataFrame | None = None,
 ) -> DataFrame:
     """Give each group, largest first, to the family's least loaded fold.
 
-    Empty folds come first; ties follow the family's starting offset. Only the table of
-    (family, group size, number of groups) reaches the sequential rule; groups are placed
-    by joining their rank to its segments. ``loads`` holds rows already in each fold
-    (family columns, ``validation_fold``, ``rows``).
+    Empty folds come first. Ties go to the fold with the fewest rows of all families so far, in
+    family order, then to the first fold. While folds of a family are level, their order by all rows
+    is that of the families before it; so each family is dealt on its own in turns, and a running sum over
+    one row per family says which fold takes each turn. That sum is a sequence by nature: one task
+    follows it, holding a number per fold.
+
+    ``loads`` holds rows already in each fold (family columns, ``validation_fold``, ``rows``); families
+    then start from uneven folds, and ties follow an offset taken from the family's name.
+
+    Only the table of (family, group size, number of groups) reaches the rule; groups are placed by
+    joining their rank to its segments. Null families are families like any other.
     """
     keyed = groups.withColumn("__digest", digests.sha256_text(seed, phase, F.col("group_id")))
     ranked = rank_by_digest(keyed, [*FAMILY, "rows"], "__digest", "group_id", rank="__rank", size="__size")
     runs = groups.groupBy(*FAMILY, "rows").agg(F.count(F.lit(1)).alias("groups")).withColumn("fold", F.lit(-1))
-    if loads is not None:
+    fresh = loads is None
+    if not fresh:
         old = loads.select(*FAMILY, "rows", F.lit(0).cast("bigint").alias("groups"), F.col("validation_fold").alias("fold"))
         runs = runs.unionByName(old)
-    runs = runs.withColumn("offset", start_offset(folds))
-    fresh = loads is None
-
-    def place(frame):
-        import pandas as pd
-
-        loaded, offset = [0] * folds, int(frame["offset"].iloc[0])
-        for fold, rows in zip(frame["fold"], frame["rows"]):
-            if fold >= 0:
-                loaded[int(fold)] += int(rows)
-        taken = [not fresh] * folds
-        family = [frame[name].iloc[0] for name in FAMILY]
-        records = []
-        new = frame[frame["fold"] < 0].sort_values("rows", ascending=False)
-        for rows, count in zip(new["rows"], new["groups"]):
-            for first, last, cycle in _level_segments(loaded, taken, int(rows), int(count), offset):
-                records.append((*family, int(rows), first, last, cycle))
-        return pd.DataFrame(records, columns=[*FAMILY, "rows", "__first", "__last", "__cycle"])
-
-    schema = "make string, model string, rows bigint, __first bigint, __last bigint, __cycle array<int>"
-    segments = runs.groupBy(*FAMILY).applyInPandas(place, schema)
+    runs = runs.withColumn("offset", F.lit(0) if fresh else start_offset(folds))
+    segments = runs.groupBy(*FAMILY).applyInPandas(_family_segments(folds, fresh), SEGMENTS)
+    if fresh:
+        segments = StageTables(groups.sparkSession, "fold-segments").write(segments)
+        families = segments.where("__loads IS NOT NULL").select(*FAMILY, "__loads")
+        in_order = families.repartition(1).sortWithinPartitions(*FAMILY)
+        turns = in_order.mapInPandas(_family_turns(folds), "make string, model string, __order array<int>")
+        segments = join_null_safe(segments, turns, FAMILY)
+    else:
+        segments = segments.withColumn("__order", F.sequence(F.lit(0), F.lit(folds - 1)))
     inside = F.col("__rank").between(F.col("__first"), F.col("__last"))
-    turn = F.pmod(F.col("__rank") - F.col("__first"), F.size("__cycle")).cast("int")
-    placed = ranked.join(segments, [*FAMILY, "rows"]).where(inside)
-    return placed.withColumn("validation_fold", F.get("__cycle", turn)).drop(
-        "__digest", "__rank", "__size", "__first", "__last", "__cycle"
+    turn = F.get("__cycle", F.pmod(F.col("__rank") - F.col("__first"), F.size("__cycle")).cast("int"))
+    placed = join_null_safe(ranked, segments, [*FAMILY, "rows"]).where(inside)
+    return placed.withColumn("validation_fold", F.get("__order", turn)).drop(
+        "__digest", "__rank", "__size", "__first", "__last", "__cycle", "__loads", "__order"
     )
 
 
@@ -171,23 +215,25 @@ def place_groups(groups: DataFrame, seed: int, test_fraction: float, folds: int,
 
 
 def assign_rows(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    return rows.select("listing_id", "group_id").join(
-        placed.select("group_id", "partition", "validation_fold"), "group_id"
-    ).select("listing_id", "group_id", "partition", "validation_fold")
+    """The place of every row; rows without a group id share the place of their (null) group."""
+    places = placed.select("group_id", "partition", "validation_fold")
+    return join_null_safe(rows.select("listing_id", "group_id"), places, ["group_id"]).select(
+        "listing_id", "group_id", "partition", "validation_fold"
+    )
 
 
 def splittable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of groups that can keep or get one place, and the refused groups with a reason.
 
-    A group is refused for a quarantined member, for several families or for several historical
-    places. Nothing is dropped: every group is on one of the two sides.
+    A group is refused for a quarantined member, for several families, for several historical
+    places, or for having no id. Nothing is dropped: every group is on one of the two sides.
     """
     family, place = F.struct(*FAMILY), F.concat_ws(":", "historical_partition", "historical_validation_fold")
     groups = rows.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("historical_partition") == QUARANTINED).alias("__quarantined"),
         (F.min(family) != F.max(family)).alias("__families"), (F.min(place) != F.max(place)).alias("__places"),
     )
-    reason = F.when(F.col("__quarantined"), F.lit("quarantined_history")).when(F.col("__families"), F.lit("several_families")).when(
+    reason = F.when(F.col("group_id").isNull(), F.lit("no_group")).when(F.col("__quarantined"), F.lit("quarantined_history")).when(F.col("__families"), F.lit("several_families")).when(
         F.col("__places"), F.lit("several_locations"))
     judged = groups.select("group_id", "rows", reason.alias("reason"))
     return rows.join(judged.where("reason IS NULL"), "group_id", "left_semi"), judged.where("reason IS NOT NULL")

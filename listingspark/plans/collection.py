@@ -87,6 +87,19 @@ def quota_selection(t):
     return quotas.select_for_quotas(fetchable, RUN, RUN_BUDGET).select("search_group", "listing_id", "position", "round")
 
 
+@query("q21_missing_positions", f"""WITH {_OUTCOMES}, pl(search_group, ord, target, budget) AS (VALUES {', '.join(f"('{q.name}', {i}, {q.target}, {q.budget})" for i, q in enumerate(RUN))}),
+  lost AS (SELECT * REPLACE (CASE WHEN position % 3 <> 0 THEN position END AS position) FROM outc WHERE outcome IN ('new', 'refresh')),
+  r AS (SELECT o.*, ord, target, budget, row_number() OVER w AS round,
+    coalesce(sum(CASE WHEN complete AND matches THEN 1 ELSE 0 END) OVER (PARTITION BY o.search_group ORDER BY position NULLS LAST, md5(listing_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+    FROM lost o JOIN pl USING (search_group) WINDOW w AS (PARTITION BY o.search_group ORDER BY position NULLS LAST, md5(listing_id::VARCHAR)))
+  SELECT search_group, listing_id, position, CAST(round AS INTEGER) AS round FROM r WHERE round <= budget AND done < target ORDER BY round, ord LIMIT {RUN_BUDGET}""")
+def missing_positions(t):
+    """A third of the queue has lost its position and comes last."""
+    fetchable = quotas.discovery_outcomes(discovered(t), saved(t)).where("outcome IN ('new', 'refresh')")
+    lost = fetchable.withColumn("position", F.expr("CASE WHEN position % 3 <> 0 THEN position END"))
+    return quotas.select_for_quotas(lost, RUN, RUN_BUDGET).select("search_group", "listing_id", "position", "round")
+
+
 @query("q25_run_log_counts", """SELECT 'request_kind' AS measure, event_type AS value, count(*) AS count FROM events GROUP BY 2
   UNION ALL SELECT 'request_outcome', CASE WHEN value > 5 THEN 'success' ELSE 'failed' END, count(*) FROM events GROUP BY 2
   UNION ALL SELECT 'selection_outcome', CASE WHEN event_id % 3 = 0 THEN 'new_complete' ELSE 'duplicate' END, count(*) FROM events WHERE event_id % 2 = 0 GROUP BY 2""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baseline, consolidate, metrics, splits
+from ..operators.ranking import join_null_safe
 from ..session import StageTables, _file_system, path_exists
 from .bindings import OBS, observations
 from .registry import Tables
@@ -44,6 +45,32 @@ def split_sql(population: str = "pop", prefix: str = "", phase: str = "developme
 
 
 SPLIT = split_sql()
+
+
+def greedy_sql(population: str = "pop", prefix: str = "") -> str:
+    """The least-loaded rule, one group of every family at a time, then one family at a time."""
+    p, same = prefix, "s.make IS NOT DISTINCT FROM d.make AND s.model IS NOT DISTINCT FROM d.model"
+    return f"""{split_sql(population, p)},
+{p}seq AS MATERIALIZED (SELECT make, model, group_id, n, row_number() OVER (PARTITION BY make, model
+    ORDER BY n DESC, sha256('{SEED}:development:' || group_id), group_id) AS rn FROM {p}placed WHERE partition = 'development'),
+{p}step AS (SELECT make, model, rn, group_id, 1 AS turn, [n, 0, 0]::BIGINT[] AS loads, [1, 0, 0] AS seen FROM {p}seq WHERE rn = 1
+  UNION ALL SELECT make, model, rn, group_id, turn, list_transform([1, 2, 3], lambda i: loads[i] + CASE WHEN i = turn THEN n ELSE 0 END),
+    list_transform([1, 2, 3], lambda i: CASE WHEN i = turn THEN 1 ELSE seen[i] END)
+  FROM (SELECT d.*, s.loads, s.seen, list_position(k, list_min(k)) AS turn FROM (SELECT *,
+      list_transform([1, 2, 3], lambda i: seen[i] * 1000000000000 + loads[i]) AS k FROM {p}step) s
+    JOIN {p}seq d ON d.rn = s.rn + 1 AND {same})),
+{p}fam AS MATERIALIZED (SELECT make, model, arg_max(loads, rn) AS loads, row_number() OVER (ORDER BY make NULLS FIRST, model NULLS FIRST) AS place
+  FROM {p}step GROUP BY make, model),
+{p}scan AS (SELECT 0::BIGINT AS place, [0, 0, 0]::BIGINT[] AS held, NULL::BIGINT[] AS folds
+  UNION ALL SELECT f.place, list_transform([1, 2, 3], lambda i: held[i] + f.loads[list_position(o, i)]), list_transform(o, lambda i: i - 1)
+  FROM (SELECT place, held, list_transform(list_sort(list_transform([1, 2, 3], lambda i: {{'h': held[i], 'i': i}})), lambda x: x.i) AS o FROM {p}scan) s
+    JOIN {p}fam f ON f.place = s.place + 1),
+{p}greedy AS (SELECT s.make, s.model, s.group_id, d.n AS rows, 'development' AS partition, CAST(folds[turn] AS INTEGER) AS validation_fold
+    FROM {p}step s JOIN {p}fam d2 ON {same.replace('d.', 'd2.')} JOIN {p}scan USING (place)
+      JOIN {p}seq d ON {same} AND d.rn = s.rn
+  UNION ALL SELECT make, model, group_id, n, partition, NULL FROM {p}placed WHERE partition = 'demo_test')"""
+
+
 DEV = "dev AS (SELECT pop.*, validation_fold FROM pop JOIN asg USING (group_id) WHERE partition = 'development')"
 
 
@@ -167,7 +194,7 @@ def assignments(t: Tables) -> DataFrame:
 
 def located(t: Tables) -> DataFrame:
     """Population rows with their partition and fold, joined on the group."""
-    return population(t).join(placed_groups(t).select("group_id", "partition", "validation_fold"), "group_id")
+    return join_null_safe(population(t), placed_groups(t).select("group_id", "partition", "validation_fold"), ["group_id"])
 
 
 def development(t: Tables) -> DataFrame:

@@ -141,6 +141,18 @@ def refused_groups(t):
     return splits.splittable(consolidated(t))[1]
 
 
+@query("p3_missing_groups", f"""{_REC}{_CONSOLIDATED}, lost AS (SELECT * REPLACE (CASE WHEN ascii(right(listing_id, 1)) % 5 <> 0 THEN group_id END AS group_id) FROM cons),
+  j AS (SELECT group_id, count(*) AS rows, CASE WHEN group_id IS NULL THEN 'no_group' WHEN bool_or(historical_partition = 'quarantined') THEN 'quarantined_history'
+    WHEN count(DISTINCT (make, model)) > 1 THEN 'several_families' WHEN count(DISTINCT concat_ws(':', historical_partition, historical_validation_fold)) > 1 THEN 'several_locations' END AS reason FROM lost GROUP BY 1)
+  SELECT reason, sum(rows)::BIGINT AS rows FROM j GROUP BY 1""")
+def missing_groups(t):
+    """Rows kept and refused, by reason, when some rows have no group: no row is on neither side."""
+    rows = consolidated(t).withColumn("group_id", F.expr("CASE WHEN ascii(right(listing_id, 1)) % 5 <> 0 THEN group_id END"))
+    kept, refused = splits.splittable(rows)
+    sides = kept.select(F.lit(None).cast("string").alias("reason"), F.lit(1).cast("bigint").alias("rows")).unionByName(refused.select("reason", "rows"))
+    return sides.groupBy("reason").agg(F.sum("rows").alias("rows"))
+
+
 @query("p3_continued_splits", f"""{_REC}{_CONSOLIDATED}, {_ELIGIBLE}, {c.split_sql('fresh', 'n')}
   SELECT listing_id, group_id, partition, validation_fold FROM nassigned
   UNION ALL SELECT listing_id, group_id, historical_partition, historical_validation_fold FROM elig WHERE historical_partition <> 'new'""")

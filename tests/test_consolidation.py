@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -124,34 +125,55 @@ def test_splits_ignore_order_and_target_but_not_seed(spark):
         assert splits.split_violations(rows, splits.build_splits(rows, mode=mode), 3).isEmpty()
 
 
+def sequential_greedy(groups, folds, phase, offsets=None, given=()):
+    """Every group in turn: empty folds, least rows of the family, then all rows (or an offset), then the fold."""
+    placed, everywhere = {}, [0] * folds
+    for family in sorted({(g[1], g[2]) for g in groups}, key=lambda f: [(x is not None, x or "") for x in f]):
+        load, seen = [0] * folds, [0] * folds
+        for make, model, fold, rows in given:
+            if (make, model) == family:
+                load[fold] += rows
+        mine = sorted((g for g in groups if (g[1], g[2]) == family), key=lambda g: (-g[3], hashlib.sha256(f"42:{phase}:{g[0]}".encode()).hexdigest()))
+        for name, _, _, rows in mine:
+            tie = (lambda i: (everywhere[i], i)) if offsets is None else (lambda i: (i - offsets[family[0]]) % folds)
+            fold = min(range(folds), key=lambda i: (offsets is None and seen[i] > 0, load[i], tie(i)))
+            placed[name] = fold
+            load[fold] += rows
+            everywhere[fold] += rows
+            seen[fold] += 1
+    return placed
+
+
 def test_greedy_rule_matches_a_sequential_one(spark):
     rng = random.Random(5)
-    groups = [(f"g{i}", f"f{i % 4}", "m", rng.choice([1, 1, 1, 1, 2, 3, 11, 40])) for i in range(600)]
-    old = [("f0", "m", 0, 70), ("f0", "m", 1, 3), ("f1", "m", 2, 9)]
+    families = [(f"f{i}" if i else None, "m" if i != 2 else None) for i in range(9)]
+    groups = [(f"g{i}", *families[min(i // 70, 8) if i < 630 else i % 9], rng.choice([1, 1, 1, 1, 2, 3, 11, 40])) for i in range(800)]
     df = spark.createDataFrame(groups, "group_id string, make string, model string, rows bigint")
+    for folds in (2, 3, 5):
+        got = splits.greedy_folds(df, 42, folds)
+        assert {r["group_id"]: r["validation_fold"] for r in got.collect()} == sequential_greedy(groups, folds, "development")
+    old = [("f3", "m", 0, 70), ("f3", "m", 1, 3), ("f1", "m", 2, 9), (None, "m", 1, 5)]
     loads = spark.createDataFrame(old, "make string, model string, validation_fold int, rows bigint")
     offsets = {r["make"]: r["o"] for r in df.select("make", splits.start_offset(3).alias("o")).distinct().collect()}
-    import hashlib
-
-    def expected(given, phase, fresh):
-        placed = {}
-        for family in sorted({g[1] for g in groups}):
-            load, seen = [0] * 3, [0] * 3
-            for make, _, fold, rows in given:
-                if make == family:
-                    load[fold] += rows
-            mine = sorted((g for g in groups if g[1] == family), key=lambda g: (-g[3], hashlib.sha256(f"42:{phase}:{g[0]}".encode()).hexdigest()))
-            for name, _, _, rows in mine:
-                fold = min(range(3), key=lambda i: (fresh and seen[i] > 0, load[i], (i - offsets[family]) % 3))
-                placed[name] = fold
-                load[fold] += rows
-                seen[fold] += 1
-        return placed
-
-    got = splits.greedy_folds(df, 42, 3)
-    assert {r["group_id"]: r["validation_fold"] for r in got.collect()} == expected([], "development", True)
     continued = splits.greedy_folds(df, 42, 3, splits.REVIEWED_PHASE, loads)
-    assert {r["group_id"]: r["validation_fold"] for r in continued.collect()} == expected(old, "reviewed-development", False)
+    expected = sequential_greedy(groups, 3, "reviewed-development", offsets, old)
+    assert {r["group_id"]: r["validation_fold"] for r in continued.collect()} == expected
+
+
+def test_rows_without_family_or_group_stay(spark):
+    rows = population(spark)
+    count = rows.count()
+    nameless = rows.withColumns({"model": F.expr("CASE WHEN listing_id LIKE '%_1' THEN model END"), "group_id": F.col("listing_id")})
+    for mode in ("deal", "greedy"):
+        assert splits.build_splits(nameless, mode=mode).count() == count
+    lost = rows.withColumns({
+        "group_id": F.expr("CASE WHEN listing_id NOT LIKE '%_0' THEN group_id END"), "historical_partition": F.lit("new"),
+        "historical_validation_fold": F.lit(None).cast("int"),
+    })
+    kept, refused = splits.splittable(lost)
+    held = {r["reason"]: r["rows"] for r in refused.collect()}
+    assert set(held) == {"no_group"} and kept.count() + held["no_group"] == count
+    assert splits.build_splits(lost, mode="greedy").count() == count
 
 
 def test_split_violations_name_every_breach(spark):
