@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingspark.contracts import adopted_features, selected_features
-from listingspark.operators import ablation, baseline, estimators, features, metrics, support
+from listingspark.operators import ablation, baseline, estimators, features, metrics, ridge, support
 
 ROW = ("listing_id string, group_id string, validation_fold int, make string, model string, variant string, year bigint, mileage_km bigint, "
        "listing_city string, fuel string, transmission string, engine_cc bigint, assembly string, body_type string, price_pkr bigint")
@@ -72,6 +72,71 @@ def test_ridge_matches_the_closed_form(spark):
     assert np.allclose(got, x @ weights + y.mean(), rtol=1e-7)
 
 
+def brute_ridge(frame, columns, alpha, fold):
+    """Imputed, scaled and one-hot inputs of one fold's training rows, solved by numpy."""
+    train, held = frame[frame.validation_fold != fold], frame[frame.validation_fold == fold]
+    parts = []
+    for name in columns:
+        if name in ("year", "mileage_km", "engine_cc"):
+            known = train[name].astype(float)
+            median = 0.0 if known.isna().all() else known.median()
+            x, v = known.fillna(median), held[name].astype(float).fillna(median)
+            parts.append(((x - x.mean()) / (x.std(ddof=0) or 1.0), (v - x.mean()) / (x.std(ddof=0) or 1.0)))
+        else:
+            x, v = train[name].fillna("__MISSING__"), held[name].fillna("__MISSING__")
+            parts += [((x == k).astype(float), (v == k).astype(float)) for k in sorted(x.unique())]
+    a, b = (np.stack([np.asarray(p[i], dtype=float) for p in parts], axis=1) for i in (0, 1))
+    y = train.price_pkr.to_numpy(float)
+    weights = np.linalg.solve((a - a.mean(0)).T @ (a - a.mean(0)) + alpha * np.eye(a.shape[1]), (a - a.mean(0)).T @ (y - y.mean()))
+    return dict(zip(held.listing_id, y.mean() + (b - a.mean(0)) @ weights, strict=True))
+
+
+def test_ridge_of_all_folds_and_inputs_from_one_scan(spark):
+    odd = population(spark, rows=40).withColumns({
+        "variant": F.expr("CASE WHEN listing_id LIKE '%7' THEN NULL WHEN listing_id = '0-3' THEN 'once' ELSE variant END"),
+        "engine_cc": F.expr("CASE WHEN validation_fold <> 0 THEN NULL ELSE engine_cc END"),  # fold 0 trains without any
+        "mileage_km": F.expr("CASE WHEN listing_id LIKE '1-%' THEN NULL ELSE mileage_km END"),
+    })
+    experiments = {"all": (selected_features("F2"), 10.0), "few": (("year", "listing_city"), 1.0), "numbers": (("mileage_km", "engine_cc"), 0.5)}
+    frame = odd.toPandas()
+    out = ridge.out_of_fold(odd.withColumn("predicted", F.lit("x")), experiments, 3).select("experiment", "listing_id", "predicted_pkr", "predicted").collect()
+    assert len(out) == 3 * 80 and {r["predicted"] for r in out} == {"x"}
+    for name, (columns, alpha) in experiments.items():
+        want = {k: v for fold in range(3) for k, v in brute_ridge(frame, columns, alpha, fold).items()}
+        got = {r["listing_id"]: r["predicted_pkr"] for r in out if r["experiment"] == name}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-8) for k in want)
+
+
+def test_scalings_of_folds_are_those_of_their_training_rows(spark):
+    rows = population(spark).withColumn("mileage_km", F.expr("CASE WHEN listing_id LIKE '%3' THEN NULL ELSE mileage_km END"))
+    columns = ["year", "mileage_km", "engine_cc"]
+    for fold, scalings in enumerate(ridge.fold_scalings(rows, columns, 3)):
+        stats = estimators.numeric_stats(rows.where(F.col("validation_fold") != fold), columns)
+        for name in columns:
+            got = scalings[name]
+            assert got.median == stats.medians[name] and got.least == stats.minima[name]
+            assert math.isclose(got.mean, stats.means[name]) and math.isclose(got.deviation, stats.deviations[name])
+    assert ridge.fold_scalings(rows, [], 3) == [{}, {}, {}]
+
+
+def test_candidates_fitted_side_by_side_equal_single_fits(spark):
+    rows = population(spark)
+    experiments = {
+        "r": ("ridge", ("make", "year"), {}), "s": ("ridge", ("year",), {"alpha": 1.0}),
+        "t": ("random_forest", ("make", "year"), {"numTrees": 2, "maxDepth": 3}), "b": ("boosted_trees", ("make", "year"), {"maxIter": 2}),
+    }
+    together = {(r["experiment"], r["listing_id"]): r["predicted_pkr"] for r in estimators.compare_candidates(rows, experiments, 3).collect()}
+    assert len(together) == 4 * 60
+    alone = estimators.out_of_fold(rows, "ridge", ("year",), 3, parameters={"alpha": 1.0}, experiment="s").collect()
+    assert all(math.isclose(together["s", r["listing_id"]], r["predicted_pkr"], rel_tol=1e-12) for r in alone)
+
+
+def test_boosted_trees_take_more_categories_than_bins(spark):
+    rows = population(spark, rows=120).withColumn("variant", F.col("listing_id"))  # 240 categories, each seen once
+    model = estimators.fit_candidate("boosted_trees", rows, ("variant", "year"), parameters={"maxIter": 2})
+    assert model.stages[-1].getMaxBins() == 32 and estimators.predict(model, rows).count() == 240
+
+
 def test_preprocessing_belongs_to_training_rows(spark):
     train = spark.createDataFrame([(2020, 0, 1000), (2020, 100, 2000)], "year bigint, mileage_km bigint, engine_cc bigint")
     stats = estimators.numeric_stats(train, ["year", "mileage_km", "engine_cc"])
