@@ -132,5 +132,58 @@ def test_ingest_is_independent_of_arrival_order(spark, tmp_path):
     assert {r["listing_id"]: r["observation_count"] for r in ingest.latest_state(spark, state).collect()} == {"1": 3, "2": 1, "3": 1}
 
 
+def delivered(spark, state, number, rows):
+    table = spark.createDataFrame(rows, "listing_id string, s int, source_batch string, price int").select(
+        "listing_id", F.timestamp_seconds("s").alias("collected_at"), "source_batch", "price")
+    ingest.batch_writer(state, id="listing_id", time="collected_at", batch="source_batch", buckets=8)(table, number)
+
+
+def prices(spark, state):
+    return {r["listing_id"]: (r["price"], r["observation_count"]) for r in ingest.latest_state(spark, state).collect()}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    state = str(tmp_path / "state")
+    delivered(spark, state, 0, [(str(i), 10, "a", i) for i in range(60)])
+    first = ingest.compact(spark, state)
+    assert len(first.tables) == 8 and ingest.compact(spark, state) == first
+    delivered(spark, state, 1, [("7", 20, "b", 700), ("7", 5, "b", 1)])
+    delivered(spark, state, 2, [])
+    before = ingest.latest_state(spark, state)
+    second = ingest.compact(spark, state)
+    moved = {bucket for bucket, name in second.tables.items() if name != first.tables[bucket]}
+    assert len(moved) == 1 and second.number == first.number + 1 and second.buckets == 8
+    expected = {str(i): (i, 1) for i in range(60)} | {"7": (700, 3)}
+    # A reader that began before the compaction still finds its files, until they are cleared away.
+    assert {r["listing_id"]: (r["price"], r["observation_count"]) for r in before.collect()} == expected == prices(spark, state)
+    ingest.vacuum(spark, state)
+    assert prices(spark, state) == expected and len(list((tmp_path / "state" / "delta").iterdir())) == 0
+    delivered(spark, state, 1, [("7", 20, "b", 700)])  # a late retry of a batch that is already folded in
+    assert prices(spark, state) == expected
+
+
+def test_a_failed_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    state = str(tmp_path / "state")
+    delivered(spark, state, 0, [("1", 10, "a", 1), ("2", 10, "a", 2)])
+    ingest.compact(spark, state)
+    delivered(spark, state, 1, [("1", 30, "b", 3)])
+
+    def broken(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_publish", broken)
+        with pytest.raises(OSError):
+            ingest.compact(spark, state)
+    assert len(list((tmp_path / "state" / "base").iterdir())) == 2  # the files are there, but no version names them
+    assert prices(spark, state) == {"1": (3, 2), "2": (2, 1)} and ingest.current_version(spark, state).number == 1
+    ingest.compact(spark, state)
+    assert prices(spark, state) == {"1": (3, 2), "2": (2, 1)} and ingest.current_version(spark, state).number == 2
+    ingest.vacuum(spark, state)
+    assert prices(spark, state) == {"1": (3, 2), "2": (2, 1)}
+    with pytest.raises(ValueError, match="no state"):
+        ingest.latest_state(spark, str(tmp_path / "nowhere"))
+
+
 def test_checkpoint_folder_is_stable(spark):
     assert checkpoint_root(spark) == checkpoint_root(spark)
