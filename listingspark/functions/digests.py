@@ -31,18 +31,27 @@ def hash_slot(digest: Column, slots: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint"), F.lit(slots)).cast("int")
 
 
-def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row: column list, row count and sums of row digests that ignore row order.
+def row_digest(columns: Sequence[str]) -> Column:
+    """MD5 of one row. Values are written with their length, so that no two different rows read
+    alike, and a null differs from every text."""
+    text = [F.col(name).cast("string") for name in columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")) for value in text]))
+
+
+def fingerprint_of(digest: Column, among: Column | None = None) -> Column:
+    """An aggregate of row digests that ignores row order: four sums that cover all their 128 bits.
 
-    Values are written with their length, so that no two different rows read alike, and a
-    null differs from every text. The four sums cover all 128 bits of the digests.
+    With ``among`` only rows for which it holds count.
     """
+    quarter = [F.conv(F.substring(digest, place, 8), 16, 10).cast("decimal(20,0)") for place in (1, 9, 17, 25)]
+    chosen = quarter if among is None else [F.when(among, part) for part in quarter]
+    return F.concat_ws("-", *[F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string") for part in chosen])
+
+
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row: column list, row count and order-free fingerprint."""
     names = list(columns or df.columns)
-    text = [F.col(name).cast("string") for name in names]
-    row = F.concat(*[F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")) for value in text])
-    hashed = df.select(F.md5(row).alias("__digest"))
-    quarter = [F.conv(F.substring("__digest", place, 8), 16, 10).cast("decimal(20,0)") for place in (1, 9, 17, 25)]
-    sums = [F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string") for part in quarter]
+    hashed = df.select(row_digest(names).alias("__digest"))
     return hashed.agg(
-        F.lit(",".join(names)).alias("columns"), F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *sums).alias("fingerprint"),
+        F.lit(",".join(names)).alias("columns"), F.count(F.lit(1)).alias("rows"), fingerprint_of(F.col("__digest")).alias("fingerprint"),
     )

@@ -168,8 +168,8 @@ def reference_tables(t):
 def versioned_dataset(t):
     """Three populations written as one version; the manifest is read back and verified."""
     target = _folder(t, "dataset") + "/v1"
-    manifest = tables.write_version(tables.dataset_populations(flagged(t)), target, [t.folder])
-    tables.verify_version(t.spark, target)
+    manifest = tables.write_dataset(flagged(t), target, [t.folder])
+    tables.verify_dataset(t.spark, target)
     return manifest.select("name", "rows")
 
 

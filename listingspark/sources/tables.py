@@ -6,11 +6,12 @@ import csv
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contracts import RAW_COLUMNS
+from ..functions import digests
 from ..functions.digests import table_fingerprint
 from ..operators.audit import complete_rows
 from ..operators.quotas import Quota, check_plan
@@ -172,12 +173,55 @@ def write_version(tables: dict[str, DataFrame], target: str, inputs: Sequence[st
     return spark.read.parquet(f"{target}/manifest")
 
 
-def dataset_populations(rows: DataFrame) -> dict[str, DataFrame]:
-    """The three populations of a prepared dataset."""
-    return {
-        "normalized_all": rows, "modeling_candidates": rows.where("modeling_candidate"),
-        "source_checked_candidates": rows.where("source_checked_candidate"),
-    }
+# The populations of a prepared dataset and the flag that each stands for.
+POPULATIONS = {"normalized_all": None, "modeling_candidates": "modeling_candidate", "source_checked_candidates": "source_checked_candidate"}
+
+
+def _population_metrics(digest: str) -> list[Column]:
+    """Row count and fingerprint of every population, as aggregates over one table."""
+    found = []
+    for name, flag in POPULATIONS.items():
+        among = F.lit(True) if flag is None else F.coalesce(F.col(flag), F.lit(False))
+        found += [F.count_if(among).alias(f"{name}:rows"), digests.fingerprint_of(F.col(digest), among).alias(f"{name}:fingerprint")]
+    return found
+
+
+def _population_manifest(spark: SparkSession, columns: Sequence[str], found: dict) -> DataFrame:
+    records = [(name, ",".join(columns), found[f"{name}:rows"], found[f"{name}:fingerprint"]) for name in POPULATIONS]
+    return spark.createDataFrame(records, "name string, columns string, rows bigint, fingerprint string")
+
+
+def write_dataset(rows: DataFrame, target: str, inputs: Sequence[str] = ()) -> DataFrame:
+    """Write a prepared dataset once, with its populations as partitions, and its manifest.
+
+    Counts and fingerprints of all populations are observed while the rows pass into their files, so
+    the rows are computed once however many populations there are.
+    """
+    spark = rows.sparkSession
+    check_target(spark, target, inputs)
+    columns, seen = sorted(rows.columns), Observation()
+    digested = rows.withColumn("__digest", digests.row_digest(columns)).observe(seen, *_population_metrics("__digest")).drop("__digest")
+    flags = [flag for flag in POPULATIONS.values() if flag]
+    digested.write.mode("errorifexists").partitionBy(*flags).parquet(f"{target}/rows")
+    manifest = _population_manifest(spark, columns, seen.get)
+    manifest.write.mode("errorifexists").parquet(f"{target}/manifest")
+    return spark.read.parquet(f"{target}/manifest")
+
+
+def read_dataset(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The populations of a written dataset; each reads only its partitions."""
+    flags = [flag for flag in POPULATIONS.values() if flag]
+    rows = spark.read.parquet(f"{target}/rows").withColumns({flag: F.col(flag).cast("boolean") for flag in flags})
+    return {name: rows if flag is None else rows.where(flag) for name, flag in POPULATIONS.items()}
+
+
+def verify_dataset(spark: SparkSession, target: str) -> None:
+    """Stop before use when the files no longer agree with the manifest; one scan for all populations."""
+    rows = read_dataset(spark, target)["normalized_all"]
+    columns = sorted(rows.columns)
+    found = rows.select(*[flag for flag in POPULATIONS.values() if flag], digests.row_digest(columns).alias("__digest"))
+    current = _population_manifest(spark, columns, found.agg(*_population_metrics("__digest")).first().asDict())
+    _refuse_changes(target, spark.read.parquet(f"{target}/manifest"), current)
 
 
 def manifest_of(tables: dict[str, DataFrame]) -> DataFrame:
@@ -204,7 +248,10 @@ def verify_version(spark: SparkSession, target: str) -> None:
     """Stop before use when a written version no longer agrees with its manifest."""
     recorded = spark.read.parquet(f"{target}/manifest")
     names = [row["name"] for row in recorded.select("name").collect()]
-    current = manifest_of({name: spark.read.parquet(f"{target}/{name}") for name in names})
+    _refuse_changes(target, recorded, manifest_of({name: spark.read.parquet(f"{target}/{name}") for name in names}))
+
+
+def _refuse_changes(target: str, recorded: DataFrame, current: DataFrame) -> None:
     changed = [row["name"] for row in manifest_differences(recorded, current).collect()]
     if changed:
         raise ValueError(f"{target}: changed since it was written: {', '.join(sorted(changed))}")

@@ -132,6 +132,34 @@ def test_ingest_is_independent_of_arrival_order(spark, tmp_path):
     assert {r["listing_id"]: r["observation_count"] for r in ingest.latest_state(spark, state).collect()} == {"1": 3, "2": 1, "3": 1}
 
 
+def test_a_dataset_is_computed_once_for_all_populations(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        runs.add(1)
+        return value
+
+    rows = spark.createDataFrame([(str(i), i % 3 == 0, None if i == 5 else i % 2 == 0, None if i == 7 else i) for i in range(40)],
+                                 "listing_id string, modeling_candidate boolean, source_checked_candidate boolean, price int")
+    rows = rows.withColumn("listing_id", F.udf(counted)("listing_id"))
+    target = str(tmp_path / "v1")
+    manifest = {r["name"]: r for r in tables.write_dataset(rows, target).collect()}
+    assert runs.value == 40
+    tables.verify_dataset(spark, target)
+    written = tables.read_dataset(spark, target)
+    expected = {"normalized_all": rows, "modeling_candidates": rows.where("modeling_candidate"), "source_checked_candidates": rows.where("source_checked_candidate")}
+    for name, part in expected.items():
+        assert sorted(map(tuple, written[name].select(*rows.columns).collect()), key=repr) == sorted(map(tuple, part.collect()), key=repr)
+        one = tables.manifest_of({name: part}).first()
+        assert tuple(one) == tuple(manifest[name])
+    with pytest.raises(ValueError, match="exists"):
+        tables.write_dataset(rows, target)
+    moved = f"{target}/rows/modeling_candidate=true/source_checked_candidate=true"
+    rows.limit(1).drop("modeling_candidate", "source_checked_candidate").write.mode("append").parquet(moved)
+    with pytest.raises(ValueError, match="changed since"):
+        tables.verify_dataset(spark, target)
+
+
 def delivered(spark, state, number, rows):
     table = spark.createDataFrame(rows, "listing_id string, s int, source_batch string, price int").select(
         "listing_id", F.timestamp_seconds("s").alias("collected_at"), "source_batch", "price")
