@@ -274,14 +274,15 @@ def reconcile_evidence(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Compare stored rows with their saved pages; one review per row that has a page.
 
     ``rows`` are stored texts; ``pages`` hold ``url``, ``page`` (structure), ``sha256`` as
-    recorded and ``actual_sha256`` as computed; with a ``position`` the last page saved for a url
-    counts. Only a price confirmed twice or a known fuel
+    recorded and ``actual_sha256`` as computed. Where pages were saved more than once they need a
+    ``position`` in the log: the last page of a url counts (null positions come first, ties go to
+    the larger checksum); without one every page is reviewed. Only a price confirmed twice or a known fuel
     yields an update; other mismatches become flags. ``checksum_ok`` false must stop a batch.
     """
     slashless = lambda c: F.regexp_replace(c, "/+$", "")
     saved = pages.select(F.col("url").alias("source_url"), "page", "sha256", "actual_sha256")
     if "position" in pages.columns:
-        last = F.max_by(F.struct("page", "sha256", "actual_sha256"), "position").alias("p")
+        last = F.max_by(F.struct("page", "sha256", "actual_sha256"), F.struct("position", "sha256", "actual_sha256")).alias("p")
         saved = pages.groupBy(F.col("url").alias("source_url")).agg(last).select("source_url", "p.*")
     joined = rows.join(saved, "source_url")
     offered = lambda item: F.coalesce(

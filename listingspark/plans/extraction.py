@@ -270,6 +270,19 @@ def source_reconciliation(t):
     )
 
 
+@query("e15_pages_saved_twice", f"WITH {_REVIEW} SELECT listing_id, CASE WHEN k % 3 = 0 THEN 0 ELSE products END AS matched_product_count, CASE WHEN u AND k % 3 <> 0 THEN 6 ELSE 0 END AS checks FROM rv")
+def pages_saved_twice(t):
+    """Every url has two saved pages, one of them without its products; the one logged last is reviewed."""
+    pages = structured_pages(t)
+    bare = F.col("page").withField("objects", F.array().cast("array<string>"))
+    versions = [
+        pages.select("url", F.when((F.col("k") % 3 == 0) == bare_first, bare).otherwise(F.col("page")).alias("page"), "sha256", "actual_sha256", F.lit(position).alias("position"))
+        for position, bare_first in ((2, True), (1, False))
+    ]
+    found = extract.reconcile_evidence(stored_rows(t), versions[0].unionByName(versions[1]))
+    return found.select("listing_id", "matched_product_count", F.size("checks").alias("checks"))
+
+
 @query("q11_check_status_counts", f"""WITH {_REVIEW}, ch AS (
   SELECT 'price_pkr' AS field, bad_price AS bad FROM rv WHERE u UNION ALL SELECT 'year', false FROM rv WHERE u UNION ALL SELECT 'mileage_km', bad_km FROM rv WHERE u
   UNION ALL SELECT 'engine_cc', false FROM rv WHERE u UNION ALL SELECT 'fuel', bad_fuel FROM rv WHERE u UNION ALL SELECT 'transmission', bad_gear FROM rv WHERE u)
