@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max pruning.
 
-Test items are the indexed collection and every passage of every training text is a query. Scores
-are divided by each item's threshold (a share of the score it gives itself), so 1 is the bar for
-all. Items are dealt into blocks; for each term the index holds the largest score within each
+Test items are the indexed collection and every passage of every training text is a query. Document
+frequencies and lengths are counted over all items first, so scores do not depend on how items are
+shared out among indexes. Scores are divided by each item's threshold (a share of the score it gives
+itself), so 1 is the bar for all. Items are dealt into blocks; for each term the index holds the largest score within each
 block. A text, then each of its passages, sums those upper bounds first and only blocks that can
 reach 1 are scored. Hits are verified by the words of the item's question and answer.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import staged
+
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 BLOCK = 32
@@ -39,6 +43,16 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return only[: (len(only) + 1) // 2], only[(len(only) + 1) // 2 :]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Number of items, their mean and greatest number of words, and in how many items each word stands."""
+
+    items: int
+    average: float
+    longest: int
+    frequencies: dict[str, int]
+
+
 @dataclass(frozen=True)
 class Index:
     """Inverted index of one shard of items; its size is bounded by the shard's text."""
@@ -49,46 +63,54 @@ class Index:
     start: np.ndarray  # postings of term t: start[t] .. start[t + 1]
     item: np.ndarray
     score: np.ndarray
-    block_max: np.ndarray  # term x block
+    block_start: np.ndarray  # blocks of term t: block_start[t] .. block_start[t + 1]
+    block: np.ndarray
+    block_max: np.ndarray  # largest score of the term within the block
     sides: list[tuple[Counter, Counter]]
     shingles: list[set]
     passage: int
 
     @classmethod
-    def build(cls, items: list[tuple[object, str]], id_type: str, threshold: float, k1: float = 1.2, b: float = 0.75) -> Index:
+    def build(cls, items: list[tuple[object, str]], id_type: str, threshold: float, known: Statistics, k1: float = 1.2, b: float = 0.75) -> Index:
         split = [split_item(t) for _, t in items]
         texts = [q + a for q, a in split]
-        df = Counter(w for t in texts for w in set(t))
-        vocabulary = {w: i for i, w in enumerate(sorted(df))}
-        average = sum(map(len, texts)) / len(texts)
-        idf = {w: np.log1p((len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+        idf = {w: np.log1p((known.items - n + 0.5) / (n + 0.5)) for w, n in known.frequencies.items()}
         postings: list[tuple[int, int, float]] = []
         for i, t in enumerate(texts):
             tf = Counter(t)
-            norm = k1 * (1 - b + b * len(t) / average)
+            norm = k1 * (1 - b + b * len(t) / known.average)
             scores = {w: idf[w] * n * (k1 + 1) / (n + norm) for w, n in tf.items()}
             bar = threshold * sum(scores.values())
             postings += [(vocabulary[w], i, s / bar) for w, s in scores.items()]
         postings.sort()
         term, item, score = (np.array(x) for x in zip(*postings, strict=True))
         start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        block_max = np.zeros((len(vocabulary), (len(texts) + BLOCK - 1) // BLOCK), np.float32)
-        np.maximum.at(block_max, (term, item // BLOCK), score)
+        # Postings are in the order of term and item, so each term's blocks are runs.
+        blocks = item // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])])
+        block_start = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
         shingles = [{tuple(t[j : j + 3]) for j in range(max(1, len(t) - 2))} for t in texts]
         sides = [(Counter(q), Counter(a)) for q, a in split]
-        return cls([i for i, _ in items], id_type, vocabulary, start, item, score, block_max, sides, shingles, max(128, 2 * max(map(len, texts))))
+        return cls(
+            [i for i, _ in items], id_type, vocabulary, start, item, score, block_start, blocks[first], np.maximum.reduceat(score, first),
+            sides, shingles, max(128, 2 * known.longest),
+        )
+
+    @staticmethod
+    def _places(start: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        lengths = start[terms + 1] - start[terms]
+        return np.repeat(start[terms] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
 
     def above(self, terms: np.ndarray) -> dict[int, float]:
         """Items that score 1 or more for a set of terms, by blocks whose upper bound reaches 1."""
-        hopeful = np.flatnonzero(self.block_max[terms].sum(axis=0) >= 0.999)
-        if not len(hopeful):
+        tops = self._places(self.block_start, terms)
+        open_ = np.bincount(self.block[tops], self.block_max[tops], (len(self.ids) + BLOCK - 1) // BLOCK) >= 0.999
+        if not open_.any():
             return {}
-        lengths = self.start[terms + 1] - self.start[terms]
-        places = np.repeat(self.start[terms] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        places = self._places(self.start, terms)
         item, score = self.item[places], self.score[places]
-        if len(hopeful) < self.block_max.shape[1]:
-            open_ = np.zeros(self.block_max.shape[1], bool)
-            open_[hopeful] = True
+        if not open_.all():
             inside = open_[item // BLOCK]
             item, score = item[inside], score[inside]
         total = np.bincount(item, score, len(self.ids))
@@ -130,21 +152,36 @@ class Index:
         return {"question": shares[0], "answer": shares[1]}
 
 
-def indexes(items: DataFrame, *, item_id: str = "item_id", text: str = "text", threshold: float = 0.5, chars: int = INDEX_CHARS) -> list[Index]:
-    """Indexes of all items with words, in shards of about ``chars`` characters each.
+def indexes(
+    items: DataFrame, *, item_id: str = "item_id", text: str = "text", threshold: float = 0.5, chars: int = INDEX_CHARS,
+) -> Iterator[tuple[Index, bool]]:
+    """Indexes of all items with words, in shards of about ``chars`` characters each, and whether more follow.
 
-    The sum of the lengths is taken first; only then is each shard collected, one by one.
+    Statistics are counted over all items; each shard then gets those of its own words. One
+    shard at a time is collected.
     """
-    used = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("t"))
-    total = used.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // chars))
-    out = []
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(words)
+
+    used = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("t")).distinct()
+    used = staged(used.withColumn("w", cut("t")).where(F.size("w") > 0), "items")
+    whole = used.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"), F.max(F.size("w")).alias("most"), F.sum(F.length("t")).alias("chars")).first()
+    shards = -(-(whole["chars"] or 0) // chars)
+    if not shards:
+        return
+    frequencies = staged(used.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "item-words")
+    placed = used.withColumn("shard", F.pmod(F.xxhash64("id", "t"), F.lit(shards)))
+    kind = items.schema[item_id].dataType.simpleString()
     for shard in range(shards):
-        rows = used.where(F.pmod(F.xxhash64("id", "t"), F.lit(shards)) == shard).distinct().collect()
-        kept = sorted(((r["id"], r["t"]) for r in rows if words(r["t"])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        if kept:
-            out.append(Index.build(kept, items.schema[item_id].dataType.simpleString(), threshold))
-    return out
+        part = placed.where(F.col("shard") == shard)
+        rows = [(r["id"], r["t"]) for r in part.select("id", "t").collect()]
+        if rows:
+            own = frequencies.join(part.select(F.explode("w").alias("word")).distinct(), "word", "left_semi")
+            known = Statistics(whole["n"], whole["mean"], whole["most"], {r["word"]: r["n"] for r in own.collect()})
+            rows.sort(key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1]))
+            yield Index.build(rows, kind, threshold, known), shard + 1 < shards
 
 
 def matches(text: str | Column, index: Index, *, overlap: float = 0.7) -> Column:
@@ -157,16 +194,18 @@ def matches(text: str | Column, index: Index, *, overlap: float = 0.7) -> Column
     return search(F.col(text) if isinstance(text, str) else text)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.7) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.7, chars: int = INDEX_CHARS) -> DataFrame:
     """doc_id, item_id, score, first, last, question, answer for each document row and verified item.
 
     ``score`` is a multiple of the item's threshold; first and last are word numbers of the best
-    passage. Rows with the same id are judged one by one. Items without words match nothing;
-    items that repeat are matched each.
+    passage. Rows with the same id are judged one by one; null and empty texts match nothing, long
+    ones are searched passage by passage to their end. Items without words match nothing; items
+    that repeat are matched each.
     """
     found = None
-    for index in indexes(items, threshold=threshold):
+    for index, more in indexes(items, threshold=threshold, chars=chars):
         part = docs.select("doc_id", F.explode(matches("text", index, overlap=overlap)).alias("h")).select("doc_id", "h.*")
+        part = staged(part, "hits") if more else part  # an index that is done with need not be kept
         found = part if found is None else found.unionByName(part)
     if found is None:
         none = F.array().cast(HITS.format(items.schema["item_id"].dataType.simpleString()))
@@ -174,8 +213,12 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, o
     return found
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.7) -> DataFrame:
-    """``docs`` without the rows in which an item was verified; all columns stay."""
-    for index in indexes(items, threshold=threshold):
+def without_contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.7, chars: int = INDEX_CHARS) -> DataFrame:
+    """``docs`` without the rows in which an item was verified; all columns stay.
+
+    Null and empty texts stay; rows that repeat go or stay each for itself.
+    """
+    for index, more in indexes(items, threshold=threshold, chars=chars):
         docs = docs.where(F.size(matches("text", index, overlap=overlap)) == 0)
+        docs = staged(docs, "clean") if more else docs
     return docs

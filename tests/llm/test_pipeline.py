@@ -66,4 +66,4 @@ def test_operators_are_called(spark, tmp_path):
     docs = spark.read.parquet(f"{where}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{where}/labels.parquet"))
     assert model.weights == {}
-    assert len(decontaminate.indexes(spark.read.parquet(f"{where}/benchmark.parquet"))) == 1
+    assert len(list(decontaminate.indexes(spark.read.parquet(f"{where}/benchmark.parquet")))) == 1
