@@ -5,17 +5,20 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from listingspark.llm import bpe, prefix_trie, whitening
+from listingspark.llm import bpe, prefix_trie, queries, whitening
 
 from .fixtures import frames
 
+FOLDER = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string"
 
 
@@ -88,6 +91,16 @@ def test_trie_of_nothing(spark):
     assert sorted(map(tuple, rows), key=repr) == brute_trie([(8, 0, "user", "x")])
 
 
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are absent")
+def test_trie_query_agrees_with_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{FOLDER}/conversations.parquet'")
+    want = con.execute(queries.SQL["op11_prefix_trie"])
+    columns, rows = [c[0] for c in want.description], want.fetchall()
+    got = queries.QUERIES["op11_prefix_trie"](spark, FOLDER).select(*columns).collect()
+    assert rows and sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
 def test_extents_of_range_minima():
     r = np.random.default_rng(3)
     for n in (1, 2, 3, 17, 64):
