@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.numbers import PRICE_BOX_PATTERN, PRICE_PATTERN, displayed_price, exact_price_value, first_number, whole_number
@@ -142,8 +143,12 @@ def price_columns(box: Column, primary: Column, start: Column) -> dict[str, Colu
     }
 
 
-def _json(document: Column, path: str) -> Column:
-    return F.get_json_object(document, path)
+# What any rule reads of a JSON-LD object, each value as its JSON text.
+_OBJECT_FIELDS = (
+    "@type", "brand", "model", "bodyType", "offers", "modelDate", "mileageFromOdometer", "vehicleEngine", "fuelType", "vehicleTransmission",
+)
+_OBJECT = T.StructType([T.StructField(name, T.StringType()) for name in _OBJECT_FIELDS])
+_OFFERS = "array<struct<url:string,price:string>>"
 
 
 def _as_list(value: Column) -> Column:
@@ -151,32 +156,41 @@ def _as_list(value: Column) -> Column:
     return F.when(F.startswith(value, F.lit("{")), F.concat(F.lit("["), value, F.lit("]"))).when(F.startswith(value, F.lit("[")), value)
 
 
+def read_objects(objects: Column) -> Column:
+    """JSON-LD objects as structs of ``fields`` and ``offers``; every text is parsed once."""
+    parsed = F.transform(objects, lambda item: F.from_json(item, _OBJECT))
+    return F.transform(parsed, lambda item: F.struct(
+        item.alias("fields"), F.from_json(_as_list(item["offers"]), _OFFERS).alias("offers")))
+
+
 def listing_product(objects: Column, url: Column) -> Column:
-    """The one distinct product object whose offer names this page, or null."""
+    """The one distinct product object whose offer names this page (as ``read_objects`` gives it), or null."""
     def fits(item: Column) -> Column:
-        kind = _json(item, "$['@type']")
+        kind = item["fields"]["@type"]
         kinds = F.when(F.startswith(kind, F.lit("[")), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
-        offers = F.from_json(_as_list(_json(item, "$.offers")), "array<struct<url:string>>")
         typed = F.exists(kinds, lambda k: k.isin(*PRODUCT_TYPES))
-        here = F.exists(offers, lambda offer: text.url_key(offer["url"]) == text.url_key(url))
+        here = F.exists(item["offers"], lambda offer: text.url_key(offer["url"]) == text.url_key(url))
         return F.coalesce(typed & here, F.lit(False))
 
-    matches = F.array_distinct(F.filter(objects, fits))
-    return F.when(F.size(matches) == 1, F.get(matches, F.lit(0)))
+    matches = F.filter(read_objects(F.array_distinct(objects)), fits)
+    # A list of the list of matches, kept where it has one: so the matches are an expression used once.
+    single = F.filter(F.array(matches), lambda found: F.size(found) == 1)
+    return F.get(F.get(single, F.lit(0)), F.lit(0))
 
 
-def with_identity(df: DataFrame) -> DataFrame:
-    """Make and model of ``__product``; the variant is what the heading adds to them and the year.
+def brand_name(fields: Column) -> Column:
+    """The brand of an object, stated as a text or as an object with a name."""
+    brand = fields["brand"]
+    return F.when(F.startswith(brand, F.lit("{")), F.get_json_object(brand, "$.name")).otherwise(brand)
 
-    Each step is its own projection, so that no JSON path is read twice.
-    """
-    brand = _json(F.col("__product"), "$.brand")
+
+def with_identity(df: DataFrame) -> DataFrame:
+    """Make and model of ``__product``; the variant is what the heading adds to them and the year."""
+    fields = F.col("__product.fields")
     named = df.withColumns({
-        "__brand": brand, "__model": _clean(_json(F.col("__product"), "$.model")),
-        "__body": _clean(_json(F.col("__product"), "$.bodyType")), "__heading": text.squash(F.col("__title")),
+        "__make": _clean(brand_name(fields)), "__model": _clean(fields["model"]),
+        "__body": _clean(fields["bodyType"]), "__heading": text.squash(F.col("__title")),
     })
-    nested = F.startswith("__brand", F.lit("{"))
-    named = named.withColumn("__make", _clean(F.when(nested, _json(F.col("__brand"), "$.name")).otherwise(F.col("__brand"))))
     named = named.withColumns({
         "__known": F.col("__make").isNotNull() & F.col("__model").isNotNull(),
         "__prefix": F.lower(F.concat("__make", F.lit(" "), "__model")), "__suffix": F.concat(F.lit(" "), "__title_year"),
@@ -263,11 +277,15 @@ def provenance() -> Column:
     return F.to_json(F.struct(*[value.alias(name) for name, value in entries.items()]))
 
 
-# Stored field -> (JSON path of its source value, numeric).
-_SOURCES = {
-    "price_pkr": ("$.offers.price", True), "year": ("$.modelDate", True), "mileage_km": ("$.mileageFromOdometer", True),
-    "engine_cc": ("$.vehicleEngine.engineDisplacement", True), "fuel": ("$.fuelType", False), "transmission": ("$.vehicleTransmission", False),
-}
+def _source_values(product: Column) -> dict[str, tuple[Column, bool]]:
+    """Stored field -> (its source value, whether that is a number)."""
+    fields = product["fields"]
+    return {
+        "price_pkr": (F.get(product["offers"], F.lit(0))["price"], True), "year": (fields["modelDate"], True),
+        "mileage_km": (fields["mileageFromOdometer"], True),
+        "engine_cc": (F.get_json_object(fields["vehicleEngine"], "$.engineDisplacement"), True),
+        "fuel": (fields["fuelType"], False), "transmission": (fields["vehicleTransmission"], False),
+    }
 
 
 def reconcile_evidence(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -286,22 +304,20 @@ def reconcile_evidence(rows: DataFrame, pages: DataFrame) -> DataFrame:
         saved = pages.groupBy(F.col("url").alias("source_url")).agg(last).select("source_url", "p.*")
     joined = rows.join(saved, "source_url")
     offered = lambda item: F.coalesce(
-        F.startswith(_json(item, "$.offers"), F.lit("{"))
-        & (slashless(_json(item, "$.offers.url")) == slashless(F.col("source_url"))), F.lit(False),
+        F.startswith(item["fields"]["offers"], F.lit("{"))
+        & (slashless(F.get(item["offers"], F.lit(0))["url"]) == slashless(F.col("source_url"))), F.lit(False),
     )
     box = F.coalesce(F.col("page.price_box"), F.lit(""))
     shown = f"(?i){PRICE_BOX_PATTERN}"
     box_value = F.when(box.rlike(shown), exact_price_value(F.regexp_extract(box, shown, 1), F.regexp_extract(box, shown, 2)))
-    matched = joined.withColumn("__products", F.filter(F.col("page.objects"), offered)).withColumns({
+    matched = joined.withColumn("__products", F.filter(read_objects(F.col("page.objects")), offered)).withColumns({
         "matched_product_count": F.size("__products"),
         "__product": F.when(F.size("__products") == 1, F.get("__products", F.lit(0))),
         "__box_value": box_value,
     })
     unique = F.col("matched_product_count") == 1
-    values = {
-        name: first_number(_json(F.col("__product"), path)).cast("string") if numeric else _json(F.col("__product"), path)
-        for name, (path, numeric) in _SOURCES.items()
-    }
+    sources = _source_values(F.col("__product"))
+    values = {name: first_number(value).cast("string") if numeric else value for name, (value, numeric) in sources.items()}
     matched = matched.withColumns({f"__{name}": value for name, value in values.items()})
     verified = F.when(unique, F.coalesce(F.col("__box_value").cast("string") == F.col("__price_pkr"), F.lit(False)))
     matched = matched.withColumn("price_verified", verified)
@@ -315,7 +331,7 @@ def reconcile_evidence(rows: DataFrame, pages: DataFrame) -> DataFrame:
         compared = unique & source.isNotNull() & (source != "")
         return F.when(compared, F.struct(F.lit(name).alias("field"), stored.alias("stored"), source.alias("source"), status.alias("status")))
 
-    checks = F.array_compact(F.array(*[check(name, numeric) for name, (_, numeric) in _SOURCES.items()]))
+    checks = F.array_compact(F.array(*[check(name, numeric) for name, (_, numeric) in sources.items()]))
     matched = matched.withColumn("checks", F.when(unique, checks).otherwise(F.array().cast(
         "array<struct<field:string,stored:string,source:string,status:string>>")))
     wrong = F.filter("checks", lambda item: item["status"] == "mismatch")

@@ -186,7 +186,7 @@ def completeness(t):
 @query("e9_matched_product", f"WITH {SRC}, {_EXPECTED} SELECT k, n, sk, has_product AS matched, CASE WHEN has_product THEN brand END AS brand FROM ex")
 def matched_product(t):
     product = extract.listing_product(F.col("page.objects"), F.col("url"))
-    brand = F.coalesce(F.get_json_object(product, "$.brand.name"), F.get_json_object(product, "$.brand"))
+    brand = extract.brand_name(product["fields"])
     return structured_pages(t).select("k", "n", "sk", product.isNotNull().alias("matched"), brand.alias("brand"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pandas as pd
@@ -31,11 +32,14 @@ _SCOPES = frozenset(("ul", "ol", "table", "div", "body", "html", "select"))
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "classes")
+    __slots__ = ("tag", "attrs", "parent", "place", "children", "classes", "in_well")
 
-    def __init__(self, tag, attrs=(), parent=None):
-        self.tag, self.attrs, self.parent, self.children = tag, dict(attrs), parent, []
-        self.classes = self.attrs["class"].split() if "class" in self.attrs else ()
+    def __init__(self, tag, attrs=None, parent=None):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs or {}, parent, []
+        self.classes = attrs["class"].split() if attrs and "class" in attrs else ()
+        self.place, self.in_well = 0, "price-well" in self.classes
+        if parent is not None:
+            self.place, self.in_well = len(parent.children), self.in_well or parent.in_well
 
     def walk(self, skip=None):
         """Elements and texts below this element in document order."""
@@ -53,20 +57,95 @@ class _Element:
         parts = (item.strip() for item in self.walk(skip) if isinstance(item, str))
         return separator.join(part for part in parts if part)
 
-    def next_element(self):
-        siblings = [item for item in self.parent.children if isinstance(item, _Element)]
-        place = next(i for i, item in enumerate(siblings) if item is self)
-        return siblings[place + 1:]
+    def following(self):
+        """Elements beside this one that come after it."""
+        siblings = self.parent.children
+        places = range(self.place + 1, len(siblings))
+        return (siblings[i] for i in places if isinstance(siblings[i], _Element))
 
 
-# One token: a comment or declaration, an end tag, or a start tag with its attributes.
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
-)
+# How a token begins: a comment, another declaration, or the name of an end or start tag.
+_OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>]*))")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _RAW_TEXT = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style")}
 
 
+_TAG_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+>""")
+
+
+class _TagEnds:
+    """Where the start tags of a page end: at the first ``>`` outside quoted values.
+
+    Once a tag has no end, ends are linked backwards over all quotes and brackets, so a page of
+    unclosed tags or quotes is still read in linear time.
+    """
+
+    def __init__(self, html):
+        self.html, self.places, self.ends = html, None, None
+
+    def after(self, at):
+        """Place of the bracket that ends a tag whose name ends at ``at``, or -1."""
+        if self.ends is None:
+            rest = _TAG_REST.match(self.html, at)
+            if rest:
+                return rest.end() - 1
+            self._link()
+        return self.ends[bisect_left(self.places, at)]
+
+    def _link(self):
+        self.places = [mark.start() for mark in re.finditer("[>\"']", self.html)]
+        self.ends, following = [-1] * (len(self.places) + 1), {}
+        for i in range(len(self.places) - 1, -1, -1):
+            mark = self.html[self.places[i]]
+            if mark == ">":
+                self.ends[i] = self.places[i]
+                continue
+            if mark in following:
+                self.ends[i] = self.ends[following[mark] + 1]
+            following[mark] = i
+
+
+class _Tree:
+    """The tree under construction: open elements, how deep each tag lies open, and text still to be added."""
+
+    def __init__(self):
+        self.open, self.depths, self.texts = [_Element("")], {}, []
+
+    def add_text(self, text):
+        self.texts.append(unescape(text) if "&" in text else text)
+
+    def flush(self):
+        if self.texts:
+            self.open[-1].children.append("".join(self.texts))
+            self.texts.clear()
+
+    def start(self, tag, attributes, stays_open):
+        closed = _CLOSES.get(tag)
+        if closed:
+            depth = max(self.depth(name) for name in closed)
+            if depth and depth > max(self.depth(name) for name in _SCOPES):
+                self.close(depth)
+        if self.texts:
+            self.flush()
+        parent = self.open[-1]
+        element = _Element(tag, attributes, parent)
+        parent.children.append(element)
+        if stays_open:
+            self.depths.setdefault(tag, []).append(len(self.open))
+            self.open.append(element)
+        return element
+
+    def depth(self, tag):
+        """Depth of the innermost open element of this name; 0 if there is none."""
+        found = self.depths.get(tag)
+        return found[-1] if found else 0
+
+    def close(self, depth):
+        self.flush()
+        while len(self.open) > depth:
+            self.depths[self.open.pop().tag].pop()
+
+
 def _attributes(source):
     """The attributes any rule looks at, with character references resolved."""
     found = {}
@@ -78,52 +157,46 @@ def _attributes(source):
 
 
 def build_tree(html):
-    """Tree of elements and texts; unclosed items, paragraphs and cells end where they must."""
-    root = here = _Element("")
-    at = 0
-
-    def add_text(text):
-        children = here.children
-        if "&" in text:
-            text = unescape(text)
-        if children and isinstance(children[-1], str):
-            children[-1] += text
-        else:
-            children.append(text)
-
-    while at < len(html):
-        token = _TOKEN.search(html, at)
-        if token is None:
-            add_text(html[at:])
-            break
-        if token.start() > at:
-            add_text(html[at:token.start()])
+    """Tree of elements and texts; unclosed items, paragraphs and cells end where they must.
+
+    Linear in the length of the page, whatever its markup: a tag that never ends is text.
+    """
+    tree, ends, last = _Tree(), _TagEnds(html), html.rfind(">")
+    at = begin = 0
+    while (token := _OPENING.search(html, at)) is not None:
+        comment, declaration, slash, name = token.groups()
         at = token.end()
-        ended, started, attributes = token.groups()
-        if ended:
-            node, tag = here, ended.lower()
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                here = node.parent
-        elif started:
-            tag = started.lower()
-            closed = _CLOSES.get(tag)
-            if closed:
-                node = here
-                while node.parent is not None and node.tag not in _SCOPES and node.tag not in closed:
-                    node = node.parent
-                if node.tag in closed:
-                    here = node.parent
-            element = _Element(tag, _attributes(attributes) if "=" in attributes else (), here)
-            here.children.append(element)
-            if tag in _RAW_TEXT:
-                end = _RAW_TEXT[tag].search(html, at)
-                element.children.append(html[at:end.start() if end else len(html)])
-                at = end.end() if end else len(html)
-            elif tag not in VOID and not attributes.endswith("/"):
-                here = element
-    return root
+        if comment:
+            end = html.find("-->", at)
+            after = end + 3 if end >= 0 else len(html)
+        else:
+            end = ends.after(at) if name and not slash else html.find(">", at) if at <= last else -1
+            after = end + 1
+            if end < 0:
+                continue
+        if token.start() > begin:
+            tree.add_text(html[begin:token.start()])
+        at = begin = after
+        if not name:
+            continue
+        tag = name.lower()
+        if slash:
+            depth = tree.depth(tag)
+            if depth:
+                tree.close(depth)
+            continue
+        attributes = html[token.end():end]
+        raw = _RAW_TEXT.get(tag)
+        element = tree.start(
+            tag, _attributes(attributes) if "=" in attributes else None, not raw and tag not in VOID and not attributes.endswith("/"))
+        if raw:
+            closing = raw.search(html, at) if at <= last else None
+            element.children.append(html[at:closing.start() if closing else len(html)])
+            at = begin = closing.end() if closing else len(html)
+    if begin < len(html):
+        tree.add_text(html[begin:])
+    tree.close(1)
+    return tree.open[0]
 
 
 def _hidden(element):
@@ -134,28 +207,31 @@ def _nested_objects(value):
     """Objects of a JSON-LD document, through lists and graphs."""
     pending = [value]
     while pending:
-        item = pending.pop(0)
+        item = pending.pop()
         if isinstance(item, list):
-            pending[:0] = item
+            pending.extend(reversed(item))
         elif isinstance(item, dict):
             yield item
-            pending.insert(0, item.get("@graph", []))
+            pending.append(item.get("@graph", []))
+
+
+def _objects_of(script):
+    """JSON texts of a script's objects; none if it is broken or nested beyond what can be read."""
+    try:
+        found = [json.dumps(item, sort_keys=True, ensure_ascii=False) for item in _nested_objects(json.loads(script))]
+    except (ValueError, RecursionError):
+        return []
+    # Half of a surrogate pair is no text that could leave Python.
+    return [item.encode("utf-8", "replace").decode() for item in found]
 
 
 def _price_box(elements):
     """Text of the main price: inside the price well if there is one."""
     boxes = [e for e in elements if e.tag == "strong" and e.parent is not None and "price-box" in e.parent.classes]
-
-    def in_well(element):
-        node = element.parent.parent
-        while node is not None:
-            if "price-well" in node.classes:
-                return True
-            node = node.parent
-        return False
-
-    chosen = next(filter(in_well, boxes), boxes[0] if boxes else None)
-    return None if chosen is None else " ".join(chosen.text().split())
+    if not boxes:
+        return None
+    chosen = next((box for box in boxes if box.parent.parent is not None and box.parent.parent.in_well), boxes[0])
+    return " ".join(chosen.text().split())
 
 
 def read_page(html: str | None):
@@ -170,24 +246,20 @@ def read_page(html: str | None):
     objects = []
     for element in elements:
         if element.tag == "script" and element.attrs.get("type") == "application/ld+json":
-            try:
-                decoded = json.loads("".join(c for c in element.children if isinstance(c, str)))
-            except ValueError:
-                continue
-            objects.extend(json.dumps(item, sort_keys=True, ensure_ascii=False) for item in _nested_objects(decoded))
+            objects.extend(_objects_of("".join(c for c in element.children if isinstance(c, str))))
     details = {}
     block = by_id.get(DETAILS_ID)
     for element in block.elements() if block is not None else ():
         if element.tag == "li" and LABEL_CLASS in element.classes:
-            value = next((e for e in element.next_element() if e.tag == "li"), None)
+            value = next((e for e in element.following() if e.tag == "li"), None)
             if value is not None and LABEL_CLASS not in value.classes:
                 label = " ".join(element.text().split()).rstrip(":").casefold()
                 details[label] = " ".join(value.text().split())
     comments = None
     marker = by_id.get(COMMENTS_ID)
-    following = marker.next_element()[:1] if marker is not None else []
-    if following and following[0].tag == "div":
-        comments = [" ".join(line.split()) for line in following[0].text("\n").splitlines()]
+    following = next(marker.following(), None) if marker is not None else None
+    if following is not None and following.tag == "div":
+        comments = [" ".join(line.split()) for line in following.text("\n").splitlines()]
     return (
         None if heading is None else " ".join(heading.text().split()), _price_box(elements),
         re.sub(r"\s+", " ", "" if _hidden(body) else body.text(skip=_hidden)).strip(), objects,

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import json
+import time
+
+from pyspark.sql import functions as F
 
 from listingspark.operators import extract
 from listingspark.sources.pages import read_page, with_structure
@@ -96,3 +99,43 @@ def test_reconciliation_repairs_only_what_is_evidenced(spark):
     assert review["updates"] == {"price_pkr": "4850000", "fuel": "Hybrid"} and review["price_verified"] and review["checksum_ok"]
     assert review["flags"] == ["unresolved_source_disagreement:mileage_km"] and len(review["checks"]) == 5
     assert not extract.reconcile_evidence(rows, pages.withColumn("sha256", F.lit("x"))).first()["checksum_ok"]
+
+
+def test_broken_markup_costs_no_more_than_other_pages():
+    pages = [
+        "<a " * 300_000, '<a "' * 250_000, "<a<b" * 250_000, "</a" * 300_000, "<!" * 400_000, "<b>" * 60_000 + "<p></p></q>" * 40_000,
+        "<script>" * 100_000, "x</q>" * 150_000, "<div>" * 60_000 + "<div class=price-box><strong>" * 15_000,
+        "<ul id=scroll_car_detail>" + "<li class=ad-data>a</li>" * 30_000, '<script type="application/ld+json">' + "[" * 200_000 + "</script>",
+    ]
+    for markup in pages:
+        started = time.process_time()
+        read_page(markup)
+        assert time.process_time() - started < 10, markup[:20]
+
+
+def test_tags_end_outside_quotes_and_unclosed_ones_are_text():
+    assert read_page('<body><a title="1 > 2">x</a> y <b class=\'">\'>z')[2] == "x y z"
+    assert read_page('<body>one <a href="two> three')[2] == 'one <a href="two> three'
+    assert read_page('<body><i "a>b <p c="d">e')[2] == '<i "a>b e'
+    assert read_page("<body>a</q>b</i>c<ul><li>d</b><li>e</ul>f")[2] == "abc d e f"
+
+
+def test_objects_in_lists_and_graphs_keep_their_order():
+    nested = '[{"a":1,"@graph":[{"b":2},[{"c":3}]]},{"d":"\\ud800"},[[{"e":NaN}]]]'
+    assert read_page(script(nested))[3] == ['{"@graph": [{"b": 2}, [{"c": 3}]], "a": 1}', '{"b": 2}', '{"c": 3}', '{"d": "?"}', '{"e": NaN}']
+    assert read_page(script("[" * 100_000, '{"f":1}'))[3] == ['{"f": 1}']
+
+
+def test_source_values_are_read_from_one_parse(spark):
+    document = {"@type": "Car", "fuelType": None, "brand": {"@type": "Brand"}, "modelDate": 2018, "mileageFromOdometer": {"value": "66,000"},
+                "vehicleEngine": {"engineDisplacement": 1300.0}, "offers": {"url": URL + "/", "price": 4.3e6}}
+    text = json.dumps(document)
+    values = {name: value for name, (value, _) in extract._source_values(F.get(extract.read_objects(F.array(F.lit(text))), F.lit(0))).items()}
+    row = spark.range(1).select(*[value.alias(name) for name, value in values.items()]).first().asDict()
+    assert (row["year"], row["mileage_km"], row["fuel"], row["transmission"]) == ("2018", '{"value":"66,000"}', None, None)
+    assert (float(row["price_pkr"]), float(row["engine_cc"])) == (4.3e6, 1300.0)
+    offered = {"a": [text, text], "b": [text, json.dumps({**document, "model": "x"})], "c": ["{}"], "d": None}
+    df = spark.createDataFrame(list(offered.items()), "n string, o array<string>")
+    product = extract.listing_product(F.col("o"), F.lit(URL))
+    found = df.select("n", product.isNotNull().alias("one"), extract.brand_name(product["fields"]).alias("brand")).collect()
+    assert {r["n"]: r["one"] for r in found} == {"a": True, "b": False, "c": False, "d": False} and not any(r["brand"] for r in found)
