@@ -57,9 +57,11 @@ def component_labels(links: DataFrame, node: str, key: str, *, label: str = "com
     Alternates two neighbourhood passes until all edges form stars, which takes a
     logarithmic number of rounds even for long chains. A round keeps at most one edge per
     input edge, its minima combine before the shuffle, and its result is written to the
-    checkpoint folder so lineage stays short. Null keys link nothing.
+    checkpoint folder so lineage stays short. Links are written first, as ids, keys and their
+    roots are all read from them. Null keys link nothing.
     """
     stages = StageTables(links.sparkSession, "components")
+    links = StageTables(links.sparkSession, "links").write(links.select(node, key))
     nodes = links.select(node).distinct()
     edges = stages.write(star_edges(links.where(F.col(key).isNotNull()), node, key))
     while not _is_settled(edges):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import DEVELOPMENT, SPEC_FIELDS
 from ..functions import reasons
+from ..session import StageTables
 from .components import component_labels
 
 # Reasons and partition names of consolidated rows.
@@ -83,11 +84,13 @@ def tie_conflicts(latest: DataFrame, id: str = "listing_id") -> DataFrame:
 def history_links(
     observations: DataFrame, history: DataFrame, *, id: str = "listing_id", fields: Sequence[str] = SPEC_FIELDS,
 ) -> DataFrame:
-    """Link keys of every version of every id, and of its historical group."""
-    specs = observations.select(id, link_key(fields).alias("link"))
-    known = observations.select(id).distinct()
-    groups = history.join(known, id, "left_semi").select(id, F.concat(F.lit("history:"), "group_id").alias("link"))
-    return specs.distinct().unionByName(groups)
+    """Link keys of every version of every id, and of its historical group.
+
+    Observations are read once: their ids and keys are written, and known ids come from those.
+    """
+    specs = StageTables(observations.sparkSession, "versions").write(observations.select(id, link_key(fields).alias("link")).distinct())
+    groups = history.join(specs.select(id), id, "left_semi").select(id, F.concat(F.lit("history:"), "group_id").alias("link"))
+    return specs.unionByName(groups)
 
 
 def component_verdicts(labels: DataFrame, history: DataFrame, *, id: str = "listing_id") -> DataFrame:

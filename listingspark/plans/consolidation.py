@@ -39,11 +39,11 @@ _HISTORY = """history AS (SELECT DISTINCT listing_id, concat('old_', order_key /
 
 
 def history(t):
-    return observations(t).where("order_key % 4 = 3").selectExpr(
+    return c.stage(t, "history", lambda: observations(t).where("order_key % 4 = 3").selectExpr(
         "listing_id", "concat('old_', order_key div 12) AS group_id",
         "CASE WHEN (order_key div 12) % 5 = 0 THEN 'demo_test' ELSE 'development' END AS partition",
         "CASE WHEN (order_key div 12) % 5 <> 0 THEN cast((order_key div 12) % 3 AS int) END AS validation_fold",
-    ).distinct()
+    ).distinct())
 
 
 _LINKS = f"""links AS (SELECT DISTINCT listing_id, sha256(concat_ws(chr(31), {', '.join(LINK_FIELDS)})) AS link FROM obs

@@ -186,8 +186,9 @@ _CHANGE_DIMENSIONS = {name: value for name, value in _DIMENSIONS.items() if name
 
 def changes(t):
     dimensions = {k: v for k, v in metrics.subgroup_dimensions().items() if k in _CHANGE_DIMENSIONS}
-    table = metrics.summarize_predictions(experiments(t), dimensions)
-    return ablation.subgroup_changes(table, experiment_table(t))
+    # A few rows a subgroup, read as candidate and as reference, and their changes by every verdict.
+    table = c.stage(t, "change_subgroups", lambda: metrics.summarize_predictions(experiments(t), dimensions))
+    return c.stage(t, "subgroup_changes", lambda: ablation.subgroup_changes(table, experiment_table(t)))
 
 
 _MAE = {name: f"SELECT experiment, '{name}' AS dimension, {value} AS value, avg(abs(predicted_pkr - actual_pkr)) AS m, {c.metric_sql()} FROM experiments GROUP BY experiment, 3"
