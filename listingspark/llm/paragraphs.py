@@ -13,21 +13,38 @@ _UNIT_END = r"(?<=[.!?])(?=\s)|(?<=\n)"
 
 
 def units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
-    """Units of each text: document, place, first character, length, hashes of the normalised unit.
+    """Units of each text: document, place, where its window begins, hashes of the normalised window.
 
     Texts are cut after line ends and sentence marks; the pieces join to the text again. A unit
-    is normalised to lower case, letters and digits, with single blanks.
-    A unit of fewer than ``min_words`` words is hashed together with the two before it, so that it
-    goes with a repeated passage and stays elsewhere; without enough words it is no candidate.
+    is normalised to lower case, letters and digits, with single blanks. A unit of ``min_words`` words
+    or more is a window of its own. A shorter one is hashed together with the two before it, so that
+    it goes with a repeated passage and stays elsewhere; where these hold too few words, as in lists
+    and verse, with as many before it as make ``min_words`` words. A text with fewer words up to
+    the unit gives no candidate.
     """
     pieces = F.split(F.col(text), _UNIT_END)
     per_doc = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__dig"), pieces.alias("pieces"))
     plain = per_doc.withColumn("pieces", F.transform("pieces", lambda p: F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " "))))
     context = F.transform("pieces", lambda p, i: F.when(_count(p) >= min_words, p).otherwise(F.trim(F.array_join(F.slice("pieces", F.greatest(i - 1, F.lit(1)), F.least(i + 1, F.lit(3))), " "))))
-    both = F.arrays_zip(F.col("pieces").alias("own"), context.alias("key"))
-    each = plain.select("__doc", "__dig", F.posexplode(both).alias("at", "u")).where((F.col("u.own") != "") & (_count(F.col("u.key")) >= min_words))
-    h1, h2 = digest(F.col("u.key"))
-    return each.select("__doc", "__dig", "at", h1.alias("h1"), h2.alias("h2"))
+    both = F.transform(F.arrays_zip(F.col("pieces").alias("own"), context.alias("key")), lambda u, i: F.struct(
+        i.alias("at"), u["own"].alias("own"), u["key"].alias("key"), _count(u["own"]).alias("n"), (_count(u["key"]) < min_words).alias("short")))
+    filled = plain.select("__doc", "__dig", F.filter(both, lambda u: u["own"] != "").alias("us"))
+
+    def window(u: Column, i: Column) -> Column:
+        """The unit with the units before it, back to ``min_words`` words; each holds a word at least."""
+        before = F.reverse(F.slice(F.col("us"), F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words))))
+        none = F.struct(F.lit("").alias("key"), F.lit(0).alias("n"), u["at"].alias("first"))
+        return F.reduce(before, none, lambda w, v: F.when(w["n"] >= min_words, w).otherwise(F.struct(
+            F.concat(v["own"], F.lit(" "), w["key"]).alias("key"), (w["n"] + v["n"]).alias("n"), v["at"].alias("first"))))
+
+    def widened(u: Column, i: Column) -> Column:
+        first = F.when(u["n"] >= min_words, u["at"]).otherwise(F.greatest(u["at"] - 2, F.lit(0)))
+        own = F.struct(u["key"].alias("key"), F.lit(min_words).alias("n"), first.alias("first"))
+        return F.struct(u["at"].alias("at"), F.when(u["short"], window(u, i)).otherwise(own).alias("w"))
+
+    each = filled.select("__doc", "__dig", F.explode(F.transform("us", widened)).alias("u")).where(F.col("u.w.n") >= min_words)
+    h1, h2 = digest(F.col("u.w.key"))
+    return each.select("__doc", "__dig", "u.at", F.col("u.w.first").alias("first"), h1.alias("h1"), h2.alias("h2"))
 
 
 def _count(plain: Column) -> Column:
@@ -37,7 +54,7 @@ def _count(plain: Column) -> Column:
 def repeated_units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
     """__doc, __dig and ``cut``: the sorted numbers of a document's units that occur earlier.
 
-    Only one place per document and hash takes part, the first; further ones in the same
+    All units of a repeated window are cut, but none of its earliest copy where both overlap. Only one place per document and hash takes part, the first; further ones in the same
     document are cut as well. Counts and the earliest place combine before the shuffle, so a unit
     that stands in a third of all documents is a group of partial results only.
     """
@@ -45,7 +62,10 @@ def repeated_units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     place = F.struct(F.col("__doc").isNull().alias("a"), F.col("__doc").alias("b"), F.col("__dig").alias("c"), F.col("at").alias("d"))
     firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("earliest")).where("copies > 1").drop("copies")
     later = found.join(firsts, ["h1", "h2"]).where(place > F.col("earliest"))
-    return later.groupBy("__doc", "__dig").agg(F.sort_array(F.collect_set("at")).alias("cut"))
+    same = F.col("__doc").eqNullSafe(F.col("earliest.b")) & (F.col("__dig") == F.col("earliest.c"))
+    begin = F.when(same, F.greatest("first", F.col("earliest.d") + 1)).otherwise(F.col("first"))
+    cut = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(begin, "at")))))
+    return later.groupBy("__doc", "__dig").agg(cut.alias("cut"))
 
 
 def without_repeated_units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -127,6 +128,51 @@ def test_units_are_cut_with_offsets(spark):
                 assert r["text"].strip() == ""
 
 
+def brute_units(rows, min_words):
+    """Texts left of (id, text) rows when every window is looked up among all windows before it."""
+    seen, left = {}, {}
+    for doc, body in sorted(rows):
+        pieces = re.split(r"(?<=[.!?])(?=\s)|(?<=\n)", body)
+        plain = [" ".join(re.findall(r"[^\W_]+", p.lower())) for p in pieces]
+        filled, gone = [i for i, p in enumerate(plain) if p], set()
+        for place, i in enumerate(filled):
+            first, key = i, plain[i]
+            if len(key.split()) < min_words:
+                first, key = max(i - 2, 0), " ".join(plain[max(i - 2, 0):i + 1]).strip()
+                if key.count(" ") + 1 < min_words:
+                    for back in range(place, -1, -1):
+                        first, key = filled[back], " ".join(plain[j] for j in filled[back:place + 1]) + " "
+                        if len(key.split()) >= min_words:
+                            break
+                    else:
+                        continue
+            if key in seen:
+                gone.update(range(max(first, seen[key][1] + 1) if seen[key][0] == doc else first, i + 1))
+            else:
+                seen[key] = (doc, i)
+        left[doc] = "".join(p for i, p in enumerate(pieces) if i not in gone)
+    return left
+
+
+def test_passages_of_short_lines_are_cut(spark):
+    names = [f"item{i}" for i in range(60)]
+    verse, same = "\n".join(names), "la\n" * 30
+    other = "\n".join(reversed(names))
+    rows = [document(1, f"first of all\n{verse}\nend"), document(2, f"second thing\n{verse}\nlast"), document(3, other), document(4, same), document(5, "item1\nitem2\nitem3")]
+    out = {r["doc_id"]: r["text"] for r in paragraphs.without_repeated_units(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[2] == "second thing\nlast" and out[4] == "la\n" * 8
+    assert [out[i] for i in (1, 3, 5)] == [rows[i - 1][1] for i in (1, 3, 5)]
+
+
+def test_units_match_brute_force(spark):
+    random.seed(5)
+    pool = [" ".join(random.choices("abcdefgh", k=random.choice((1, 1, 2, 3, 5, 9, 12)))) for _ in range(14)]
+    bodies = ["".join(random.choice(pool) + random.choice((". ", "\n", "\n\n", "! ")) for _ in range(random.randrange(1, 25))) for _ in range(60)]
+    rows = [document(i, body) for i, body in enumerate(dict.fromkeys(bodies))]
+    out = {r["doc_id"]: r["text"] for r in paragraphs.without_repeated_units(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == brute_units([(r[0], r[1]) for r in rows], 8)
+
+
 def luhn(digits: str) -> bool:
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
