@@ -54,17 +54,18 @@ def _count(plain: Column) -> Column:
 def repeated_units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
     """__doc, __dig and ``cut``: the sorted numbers of a document's units that occur earlier.
 
-    All units of a repeated window are cut, but none of its earliest copy where both overlap. Only one place per document and hash takes part, the first; further ones in the same
-    document are cut as well. Counts and the earliest place combine before the shuffle, so a unit
-    that stands in a third of all documents is a group of partial results only.
+    All units of a repeated window are cut, but none of its earliest copy where both overlap; further
+    places in the same document are cut as well. Counts and the earliest place combine before the
+    shuffle, so a unit that stands in a third of all documents is a group of partial results only.
+    Rows with the same id and text name the same places, of which the set of cuts keeps one.
     """
-    found = staged(units(docs, doc_id=doc_id, text=text, min_words=min_words).dropDuplicates(["__doc", "__dig", "at"]), "units")
+    found = staged(units(docs, doc_id=doc_id, text=text, min_words=min_words), "units")
     place = F.struct(F.col("__doc").isNull().alias("a"), F.col("__doc").alias("b"), F.col("__dig").alias("c"), F.col("at").alias("d"))
     firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("earliest")).where("copies > 1").drop("copies")
     later = found.join(firsts, ["h1", "h2"]).where(place > F.col("earliest"))
     same = F.col("__doc").eqNullSafe(F.col("earliest.b")) & (F.col("__dig") == F.col("earliest.c"))
     begin = F.when(same, F.greatest("first", F.col("earliest.d") + 1)).otherwise(F.col("first"))
-    cut = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(begin, "at")))))
+    cut = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(begin, "at")))))
     return later.groupBy("__doc", "__dig").agg(cut.alias("cut"))
 
 
