@@ -273,6 +273,19 @@ def test_main_text_of_articles_and_of_plain_pages(spark):
     assert html_diff.main_text(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_neighbours_are_other_pages_and_cross_group_edges(spark):
+    rows, hosts = [], 3 * html_diff.GROUP
+    for h in range(hosts):  # two pages a host, the first host with one only, so that pairs straddle every edge
+        for i in range(1 if h == 0 else 2):
+            rows.append((len(rows), f"http://h{h:03}.example/p/{i}", page(f"<p>Own text {h} {i}", False)))
+    rows += [(1000 + i, f"http://copies.example/p/{i % 3}?v={i}", page("<p>Text of the copies", False)) for i in range(50)]
+    rows += [(2000, "http://copies.example/p/9", page("<p>Another text", False))]
+    out = html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    alone = [r["page_id"] for r in out if "motto" in r["text"]]
+    assert len(out) == len(rows) and alone == [0]
+    assert {r["text"] for r in out if 1000 <= r["page_id"] < 2000} == {"Text of the copies"}
+
+
 def test_rules_and_trust(spark):
     link = lambda *h: "".join(f'<a class="x" href="{u}">l</a>' for u in h)
     rows = [
