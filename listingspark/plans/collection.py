@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..contracts import RAW_COLUMNS
-from ..operators import quotas
+from ..operators import quotas, reviews
 from ..session import StageTables
 from ..sources import tables
 from ..streaming import ingest
@@ -163,6 +163,86 @@ def reference_tables(t):
     return variants.select("make", "model", "variant")
 
 
+_NOTE = """concat(o_orderpriority, chr(10), '"', o_orderstatus, '", ', CASE WHEN o_orderkey % 3 = 0 THEN concat(chr(10), chr(10)) ELSE '' END, o_custkey)"""
+
+
+@query("s1_quoted_line_breaks", f"SELECT cast(o_orderkey AS varchar) AS o_orderkey, {_NOTE} AS note FROM orders")
+def quoted_line_breaks(t):
+    """Orders with notes of several quoted lines, written as CSV and read in blocks."""
+    folder = _folder(t, "csv")
+    t.orders.selectExpr("o_orderkey", f"{_NOTE} AS note").write.option("header", True).option("escape", '"').csv(folder)
+    rows, broken = tables.read_strict_csv(t.spark, folder, ["o_orderkey", "note"], multiline=True)
+    if not broken.isEmpty():
+        raise ValueError("The export has malformed rows")
+    return rows
+
+
+@query("s4_scope", """SELECT DISTINCT p_brand AS make, p_type AS model, (SELECT min(year(o_orderdate)) FROM orders) AS first_year, (SELECT max(year(o_orderdate)) FROM orders) AS last_year FROM part""")
+def scope(t):
+    """Scope documents, one brand each, with the years of all orders."""
+    folder = _folder(t, "scope")
+    years = t.orders.select(F.year("o_orderdate").alias("y")).agg(F.array(F.min("y"), F.max("y")).alias("year_range")).first()["year_range"]
+    family = F.struct(F.col("p_brand").alias("make"), F.col("p_type").alias("model"))
+    documents = t.part.groupBy("p_brand").agg(F.collect_set(family).alias("candidate_families"))
+    documents.select("candidate_families", F.array(*[F.lit(y) for y in years]).alias("year_range")).write.json(folder)
+    families, (low, high) = tables.load_scope(t.spark, folder, multiline=False)
+    return families.select("make", "model", F.lit(low).cast("bigint").alias("first_year"), F.lit(high).cast("bigint").alias("last_year"))
+
+
+# (expression, column) of a decision about an order; some are malformed or repeat an id.
+_DECIDED = (
+    ("CASE WHEN o_orderkey % 17 = 0 THEN concat('x', o_orderkey) WHEN o_orderkey % 100 = 1 THEN concat(o_orderkey - 1, '') ELSE concat(o_orderkey, '') END", "listing_id"),
+    ("CASE o_orderkey % 7 WHEN 0 THEN 'exclude' WHEN 1 THEN 'drop' ELSE 'keep' END", "decision"),
+    ("CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE o_orderpriority END", "reason"),
+    ("CASE WHEN o_orderkey % 5 = 0 THEN o_custkey - o_orderkey % 3 * 1000000 END", "mileage_from"),
+    ("CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 <> 0 THEN o_orderkey END", "mileage_to"),
+    ("CASE WHEN o_orderkey % 9 = 0 THEN o_custkey END", "displayed_pkr"),
+    ("CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey % 2 END", "structured_pkr"),
+)
+_DECIDED_SQL = "SELECT " + ", ".join(f"{expression} AS {name}" for expression, name in _DECIDED) + " FROM orders"
+
+
+def _stored_decisions(t):
+    """Decisions about orders, written as one document a customer and loaded again."""
+    folder = _folder(t, "decisions")
+    flat = t.orders.selectExpr("o_custkey", *[f"{expression} AS {name}" for expression, name in _DECIDED])
+    decision = F.expr("""named_struct('listing_id', listing_id, 'decision', decision, 'reason', reason,
+      'corrections', CASE WHEN mileage_from IS NOT NULL THEN named_struct('mileage_km', named_struct('from', mileage_from, 'to', mileage_to)) END,
+      'accept_price_precision', CASE WHEN displayed_pkr IS NOT NULL THEN named_struct('displayed_pkr', displayed_pkr, 'structured_pkr', structured_pkr) END)""")
+    documents = flat.groupBy("o_custkey").agg(F.collect_list(decision).alias("decisions"))
+    documents.select(F.lit(1).alias("version"), "decisions").write.json(folder)
+    return tables.load_decisions(t.spark, folder, multiline=False)
+
+
+@query("s4_review_decisions", _DECIDED_SQL)
+def review_decisions(t):
+    return _stored_decisions(t)
+
+
+@query("s4_decision_violations", f"""WITH d AS ({_DECIDED_SQL})
+  SELECT listing_id, 'listing_id is not numeric' AS violation FROM d WHERE NOT regexp_full_match(listing_id, '[0-9]+')
+  UNION ALL SELECT listing_id, 'unknown decision' FROM d WHERE decision NOT IN ('exclude', 'keep')
+  UNION ALL SELECT listing_id, 'no reason given' FROM d WHERE reason = ''
+  UNION ALL SELECT listing_id, 'invalid correction' FROM d WHERE mileage_from IS NOT NULL AND NOT (decision = 'keep' AND mileage_from >= 0 AND mileage_to IS NOT NULL)
+  UNION ALL SELECT listing_id, 'invalid accepted price' FROM d WHERE displayed_pkr IS NOT NULL AND NOT (decision = 'keep' AND displayed_pkr >= 1 AND structured_pkr >= 1)
+  UNION ALL SELECT listing_id, 'repeated decision' FROM d GROUP BY 1 HAVING count(*) > 1""")
+def decision_violations(t):
+    return reviews.decision_violations(_stored_decisions(t))
+
+
+@query("s4_sampling_plan", """SELECT lower(n_name) AS name, count(*) AS target, 2 * count(*) AS budget, CASE WHEN n_nationkey % 2 = 0 THEN r_name END AS make, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS model
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, n_nationkey, r_name""")
+def sampling_plan(t):
+    """A plan with one search a nation, as large as its number of customers, written and loaded."""
+    folder = _folder(t, "plan")
+    customers = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    searches = customers.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("""named_struct('name', lower(n_name), 'expected_make', CASE WHEN n_nationkey % 2 = 0 THEN r_name END,
+      'expected_model', CASE WHEN n_nationkey % 2 = 0 THEN n_name END, 'target_complete_rows', n, 'max_detail_requests', 2 * n) AS s""")
+    searches.agg(F.lit(1).alias("plan_version"), F.collect_list("s").alias("searches")).write.json(folder)
+    plan = tables.load_plan(t.spark, folder)
+    return t.spark.createDataFrame([(q.name, q.target, q.budget, q.make, q.model) for q in plan], "name string, target long, budget long, make string, model string")
+
+
 @query("s5_versioned_dataset", f"""WITH {OBS}, {FLAGGED} SELECT 'normalized_all' AS name, count(*) AS rows FROM flagged UNION ALL SELECT 'modeling_candidates', count(*) FROM flagged WHERE modeling_candidate
   UNION ALL SELECT 'source_checked_candidates', count(*) FROM flagged WHERE source_checked_candidate""")
 def versioned_dataset(t):

@@ -16,6 +16,7 @@ from ..functions.digests import table_fingerprint
 from ..operators.audit import complete_rows
 from ..operators.quotas import Quota, check_plan
 from ..session import path_exists
+from .quoted import quoted_records
 
 _CORRUPT = "_corrupt"
 
@@ -38,8 +39,17 @@ def csv_files(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_header_violations(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
     """Files whose first line does not state exactly these columns in this order."""
-    plain = F.regexp_replace("header", '"', "")
-    return csv_files(spark, path).where(F.coalesce(plain != ",".join(header), F.lit(True)))
+    return csv_files(spark, path).where(~_states(header))
+
+
+def _states(header: Sequence[str]) -> Column:
+    """Whether the line in ``header`` parses to exactly these names, so a quoted comma stays within one."""
+    places = [f"c{i}" for i in range(len(header))]
+    parsed = F.from_csv("header", ", ".join(f"{name} STRING" for name in [*places, _CORRUPT]), {"columnNameOfCorruptRecord": _CORRUPT, "escape": '"'})
+    same = parsed[_CORRUPT].isNull()
+    for place, name in zip(places, header, strict=True):
+        same = same & parsed[place].eqNullSafe(F.lit(name))
+    return F.coalesce(same, F.lit(False))
 
 
 def read_strict_csv(
@@ -48,8 +58,8 @@ def read_strict_csv(
     """All-text trimmed rows of a CSV export, and the rows whose shape is broken.
 
     The header must name every required column once; a file with another header refuses the
-    whole folder. ``multiline`` accepts line breaks in quoted values, at the price of one task
-    per file.
+    whole folder. ``multiline`` accepts line breaks in quoted values; large files stay split,
+    and a file that ends inside a quoted value refuses the folder as well.
     """
     header = csv_header(spark, path)
     missing = sorted(set(required) - set(header))
@@ -57,14 +67,21 @@ def read_strict_csv(
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
     if len(set(header)) != len(header):
         raise ValueError(f"{path}: duplicate column names")
-    refused = csv_header_violations(spark, path, header).select("file").first()
+    records, blocks = quoted_records(spark, path) if multiline else (None, None)
+    heads = csv_files(spark, path) if blocks is None else blocks.where("start = 0")
+    refused = heads.where(~_states(header)).select("file").first()
     if refused:
         raise ValueError(f"{refused['file']}: its header differs from the other files'")
+    unclosed = blocks.where(~F.col("closed")).select("file").first() if blocks is not None else None
+    if unclosed:
+        raise ValueError(f"{unclosed['file']}: it ends inside a quoted value")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _CORRUPT]])
-    scanned = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("multiLine", multiline)
-        .option("columnNameOfCorruptRecord", _CORRUPT).option("escape", '"').csv(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "escape": '"'}
+    if multiline:
+        fields = ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in schema.fields)
+        scanned = records.select(F.from_csv("record", fields, options).alias("r")).select("r.*")
+    else:
+        scanned = spark.read.schema(schema).options(header=True, **options).csv(path)
     # A short row shows only when every column is parsed, so both filters read them all.
     parsed = F.length(F.concat_ws("\x1f", *header)) >= 0
     whole = scanned.where(F.col(_CORRUPT).isNull() & parsed)
@@ -120,16 +137,18 @@ def catalogue_violations(families: DataFrame, variants: DataFrame) -> DataFrame:
     ])
 
 
-def load_scope(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int]]:
-    """Allowed families, and the inclusive range of model years."""
-    scope = _documents(spark, path, SCOPE_SCHEMA, None, True)
-    low, high = scope.first()["year_range"]
-    return scope.select(F.explode("candidate_families").alias("f")).select("f.make", "f.model"), (low, high)
+def load_scope(spark: SparkSession, path: str, *, multiline: bool = True) -> tuple[DataFrame, tuple[int, int]]:
+    """Allowed families, and the inclusive range of model years, which all documents must share."""
+    scope = _documents(spark, path, SCOPE_SCHEMA, None, multiline)
+    least, most, stated = scope.agg(F.min("year_range"), F.max("year_range"), F.count("year_range") == F.count("*")).first()
+    if not stated or least != most or len(least) != 2 or None in least:
+        raise ValueError(f"{path}: documents must state one range of years")
+    return scope.select(F.explode("candidate_families").alias("f")).select("f.make", "f.model"), tuple(least)
 
 
-def load_decisions(spark: SparkSession, path: str) -> DataFrame:
+def load_decisions(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
     """Review decisions with their corrections as flat columns."""
-    listed = _documents(spark, path, REVIEW_SCHEMA, "version", True).select(F.explode("decisions").alias("d"))
+    listed = _documents(spark, path, REVIEW_SCHEMA, "version", multiline).select(F.explode("decisions").alias("d"))
     return listed.select(
         "d.listing_id", "d.decision", "d.reason", F.col("d.corrections.mileage_km.from").alias("mileage_from"),
         F.col("d.corrections.mileage_km.to").alias("mileage_to"), "d.accept_price_precision.displayed_pkr", "d.accept_price_precision.structured_pkr",

@@ -44,6 +44,38 @@ def test_every_file_keeps_the_header(spark, tmp_path):
         tables.read_strict_csv(spark, str(folder), ["a"])
 
 
+def test_quoted_line_breaks_in_split_files(spark, tmp_path):
+    folder = tmp_path / "quoted"
+    folder.mkdir()
+    value = lambda i: f'v{i}' if i % 3 else 'say ""x"", ' + "\n\n".join(f"part {i} {j}" for j in range(i % 40)) + "\r\nend"
+    texts = {str(i): value(i) for i in range(300)}
+    for name, low, end in (("a", 0, "\n"), ("b", 150, "\r\n")):
+        lines = [f'{i},"{texts[str(i)]}",z' for i in range(low, low + 150)]
+        (folder / f"{name}.csv").write_bytes((end.join(["\ufeffid,name,z", *lines[:70], "", *lines[70:]]) + end).encode())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("200b", "3kb", kept):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows, broken = tables.read_strict_csv(spark, str(folder), ["id", "name"], multiline=True)
+            got = {r["id"]: r["name"] for r in rows.collect()}
+            assert broken.isEmpty() and rows.count() == 300
+            assert got == {i: t.replace('""', '"').replace("\r\n", "\n") for i, t in texts.items()}
+            if size == "3kb":
+                assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    write(folder / "c.csv", 'id,name,z\n1,"open,2\n')
+    with pytest.raises(ValueError, match="inside a quoted value"):
+        tables.read_strict_csv(spark, str(folder), ["id"], multiline=True)
+    other = tmp_path / "other"
+    other.mkdir()
+    write(other / "a.csv", "a,b,c\n1,2,3\n")
+    write(other / "b.csv", '"a,b",c\n1,2\n')
+    for multiline in (True, False):
+        with pytest.raises(ValueError, match="header differs"):
+            tables.read_strict_csv(spark, str(other), ["c"], multiline=multiline)
+
+
 def test_reference_documents(spark, tmp_path):
     path = write(tmp_path / "c.json", json.dumps({"catalogue_version": 1, "families": [
         {"make": "Honda", "model": "City", "variants": ["Aspire", "ASPIRE"]}, {"make": "Suzuki", "model": "Alto", "variants": []}]}))
