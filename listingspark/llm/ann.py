@@ -22,12 +22,17 @@ SAMPLE = 20_000  # vectors that centroids are learned on
 CENTROIDS = 256
 NEIGHBOURS = 16  # links of a centroid in the graph
 PROBES = 64  # most lists that a query searches
+LEAST = 16  # lists that a query searches whatever their distance
 BLOCK = 4096  # most vectors or queries that meet at once
 
 
 @dataclass(frozen=True)
 class Graph:
-    """Unit centroids and, for each, its nearest others."""
+    """Unit centroids and, for each, its nearest others.
+
+    Lists of under half the mean size are moved to where lists hold more than 1.5 times the mean, so a
+    dense region gets as many lists as its share of the vectors asks for.
+    """
 
     centroids: np.ndarray
     links: np.ndarray
@@ -39,17 +44,21 @@ class Graph:
         distinct = np.unique(sample, axis=0)
         lists = max(1, min(lists, len(distinct) // 8 or 1))
         centroids = distinct[random.permutation(len(distinct))[:lists]]
-        for _ in range(rounds):
+        mean = len(distinct) / lists
+        for turn in range(rounds):
             near = centroids @ distinct.T
             owner = near.argmax(axis=0)
             counts = np.bincount(owner, minlength=lists)
             sums = np.zeros_like(centroids)
             np.add.at(sums, owner, distinct)
-            empty = np.flatnonzero(counts == 0)
-            largest = np.argsort(-counts, kind="stable")[: len(empty)]
-            for e, big in zip(empty, largest, strict=True):  # keep lists balanced: split the largest
-                members = np.flatnonzero(owner == big)
-                sums[e] = distinct[members[random.integers(len(members))]]
+            # Keep lists balanced: the smallest give up their place to split the largest. The last rounds settle.
+            small = np.argsort(counts, kind="stable")
+            for least, most in zip(small, small[::-1], strict=True):
+                uneven = turn < rounds - 2 and counts[least] < mean / 2 and counts[most] > 1.5 * mean
+                if counts[least] and not uneven:
+                    break
+                members = np.flatnonzero(owner == most)
+                sums[least] = distinct[members[random.integers(len(members))]]
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids)
         near = centroids @ centroids.T
@@ -92,8 +101,8 @@ def learn(vectors: DataFrame, *, lists: int = CENTROIDS, sample: int = SAMPLE) -
     return Graph.fit(_units(chosen["embedding"]), lists) if len(chosen) else None
 
 
-def _placed(graph: Graph, ratio: float, most: int):
-    """Rows with the lists they belong to, one row each."""
+def _placed(graph: Graph, ratio: float, most: int, least: int = 1):
+    """Rows with the lists they belong to, one row each: ``least`` nearest lists and those within the ratio."""
 
     def place(batches):
         for batch in batches:
@@ -101,7 +110,9 @@ def _placed(graph: Graph, ratio: float, most: int):
                 part = batch.iloc[low : low + 1024]
                 ids, cosines = graph.search(_units(part["embedding"]), most + 8)
                 apart = np.sqrt(np.maximum(0, 2 - 2 * cosines[:, :most]))
-                row, at = np.nonzero(apart <= ratio * apart[:, :1] + 1e-9)
+                # A vector that is its own centroid has a nearest distance of zero, which prunes all other lists.
+                reach = np.maximum(ratio * apart[:, :1], apart[:, min(least, apart.shape[1]) - 1, None])
+                row, at = np.nonzero(apart <= reach + 1e-9)
                 yield part.iloc[row].assign(list=ids[row, at].astype(np.int32))
 
     return place
@@ -135,7 +146,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, lists: int =
 
     Vectors within ``overlap`` times the distance of their nearest centroid stand in up to
     ``copies`` lists; queries search up to ``probes`` lists within ``reach`` times that
-    distance. Ties go to the smaller id, a query never finds its own id. Null ids and vectors
+    distance, and the nearest ``LEAST`` lists in any case. Ties go to the smaller id, a query never finds its own id. Null ids and vectors
     that are null, zero or not finite take no part, on either side; of repeated ids one counts.
     Vectors with another number of components than most are left out as well.
     """
@@ -157,7 +168,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, lists: int =
         return df.groupBy("list").agg(F.count("*").alias("n"))
 
     postings = stages.write(indexed.mapInPandas(_placed(graph, overlap, copies), schema))
-    probing = stages.write(asked.mapInPandas(_placed(graph, reach, probes), schema))
+    probing = stages.write(asked.mapInPandas(_placed(graph, reach, probes, LEAST), schema))
     held, want = sized(postings), sized(probing)
     posted = blocks(postings.join(held, "list"), "vb").select("list", "vb", "vec_id", "embedding")
     asking = blocks(probing.join(want, "list"), "qb").select("list", "qb", "vec_id", "embedding")

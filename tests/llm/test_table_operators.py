@@ -223,6 +223,15 @@ def test_neighbours_match_brute_force(spark):
     assert hit >= 0.9 * 18 * 5 and {g["query_id"] for g in out} == set(range(0, 900, 50))
 
 
+def test_queries_that_are_their_own_centroids_still_look_further(spark):
+    # Groups of three copies: where one makes a list of its own, that holds two neighbours only.
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i // 3]], None, None) for i in range(120)]
+    out = ann.nearest(vectors(spark, rows), vectors(spark, rows[::10])).collect()
+    assert all(sum(g["query_id"] == q for g in out) == 5 for q in range(0, 120, 10))
+
+
 def test_neighbours_of_small_tables(spark):
     assert ann.nearest(vectors(spark, []), vectors(spark, [])).isEmpty()
     two = vectors(spark, [(0, [1.0, 0.0], None, None), (1, [1.0, 1.0], None, None)])
@@ -231,6 +240,17 @@ def test_neighbours_of_small_tables(spark):
     assert ann.nearest(one, one).isEmpty()
 
 
+def test_dense_regions_get_their_share_of_lists():
+    r = np.random.default_rng(3)
+    spread, dense = r.normal(size=(4000, 16)), r.normal(size=(1, 16)) * 3 + r.normal(size=(4000, 16)) * 0.05
+    both = np.concatenate([spread, dense])
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    graph = ann.Graph.fit(both, 64)
+    sizes = np.bincount((graph.centroids @ both.T).argmax(axis=0), minlength=64)
+    assert sizes.min() > 0 and sizes.max() < 3 * sizes.mean()
+    assert sizes[np.unique((graph.centroids @ both[4000:].T).argmax(axis=0))].sum() >= 4000
+
+
 def test_common_subsequence_is_longest():
     r = random.Random(9)
     for _ in range(200):
