@@ -141,7 +141,7 @@ def load_scope(spark: SparkSession, path: str, *, multiline: bool = True) -> tup
     """Allowed families, and the inclusive range of model years, which all documents must share."""
     scope = _documents(spark, path, SCOPE_SCHEMA, None, multiline)
     least, most, stated = scope.agg(F.min("year_range"), F.max("year_range"), F.count("year_range") == F.count("*")).first()
-    if not stated or least != most or len(least) != 2 or None in least:
+    if not stated or least is None or least != most or len(least) != 2 or None in least:
         raise ValueError(f"{path}: documents must state one range of years")
     return scope.select(F.explode("candidate_families").alias("f")).select("f.make", "f.model"), tuple(least)
 

@@ -86,6 +86,10 @@ def test_reference_documents(spark, tmp_path):
         tables.load_catalogue(spark, write(tmp_path / "d.json", '{"catalogue_version": 2, "families": []}'))
     scope, years = tables.load_scope(spark, write(tmp_path / "s.json", '{"candidate_families": [{"make": "Honda", "model": "City"}], "year_range": [2010, 2026]}'))
     assert years == (2010, 2026) and scope.first()["model"] == "City"
+    both = '{"candidate_families": [], "year_range": [2010, 2026]}\n{"candidate_families": [], "year_range": [2011, 2026]}\n'
+    for documents in (both, '{"candidate_families": []}\n', ""):
+        with pytest.raises(ValueError, match="one range of years"):
+            tables.load_scope(spark, write(tmp_path / "years.json", documents), multiline=False)
     decisions = tables.load_decisions(spark, write(tmp_path / "r.json", json.dumps({"version": 1, "decisions": [
         {"listing_id": "1", "decision": "keep", "reason": "r", "corrections": {"mileage_km": {"from": 5, "to": 50}}}]})))
     assert tuple(decisions.first()) == ("1", "keep", "r", 5, 50, None, None)
