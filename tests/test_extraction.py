@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from listingspark.operators import extract
-from listingspark.sources.pages import read_page, with_structure
+from listingspark.sources.pages import PARTS, read_page, with_structure
 
 URL = "https://www.example.com/used-cars/honda-city-2018-for-sale-in-d-g-khan-42"
 
@@ -139,3 +139,17 @@ def test_source_values_are_read_from_one_parse(spark):
     product = extract.listing_product(F.col("o"), F.lit(URL))
     found = df.select("n", product.isNotNull().alias("one"), extract.brand_name(product["fields"]).alias("brand")).collect()
     assert {r["n"]: r["one"] for r in found} == {"a": True, "b": False, "c": False, "d": False} and not any(r["brand"] for r in found)
+
+
+def test_only_the_named_pieces_are_read(spark):
+    markup = page("<div class='price-box'><strong>PKR 1 crore</strong></div>", script(product()), details="<li class='ad-data'>Posted On</li><li>2026-10-05</li>", comments="Registered 2013")
+    whole = dict(zip(PARTS, read_page(markup)))
+    for part in PARTS:
+        assert read_page(markup, [part]) == (whole[part],)
+    df = spark.createDataFrame([(URL, markup)], "url string, html string")
+    full = extract.extract_listings(with_structure(df))
+    assert set(extract._READ_FROM) <= set(full.columns)
+    for columns in (["listing_id", "listing_city"], ["listing_date", "assembly"], ["registration_year"], ["body_type"], ["variant"], ["parse_status", "price_pkr"]):
+        found = extract.extract_listings(with_structure(df, parts=extract.parts_of(*columns)))
+        assert found.select(columns).collect() == full.select(columns).collect()
+    assert "price_pkr" not in extract.extract_listings(with_structure(df, parts=["text"])).columns
