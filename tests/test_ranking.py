@@ -38,6 +38,12 @@ def test_several_medians_at_once(spark):
     assert grouped_medians(df, ["g"], ["x", "y"]).collect() == [("a", 3.0, 20.0)]
 
 
+def test_keys_may_have_any_name_when_cells_are_cut_again(spark):
+    df = spark.createDataFrame([(1, 2, 3, 100.0 + i / 1000) for i in range(400)], "__all int, __base int, __outer int, v double")
+    found = grouped_median(df, ["__all", "__base", "__outer"], "v", limit=10).collect()
+    assert [(r["group_count"], round(r["median"], 6)) for r in found] == [(400, 100.1995)]
+
+
 def test_rank_matches_a_plain_window(spark):
     rng = random.Random(3)
     rows = [("f%d" % (0 if i % 3 else i % 5), i, rng.choice([1, 1, 1, 2, 7])) for i in range(4000)]
