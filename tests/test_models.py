@@ -244,3 +244,13 @@ def test_unfit_rows_refuse_their_group(spark):
     rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, float("nan")), ("b", 1.0, 2.0), (None, 2.0, 2.0), ("c", 0.0, 1.0)], "g string, actual_pkr double, predicted_pkr double")
     found = {r["g"]: (r["count"], r["mae_pkr"], r["median_ae_pkr"]) for r in metrics.regression_metrics(rows, ["g"]).collect()}
     assert found == {"a": (2, None, None), "b": (1, 1.0, 1.0), None: (1, 0.0, 0.0), "c": (1, None, None)}
+
+
+def test_equal_errors_summed_in_another_order_are_not_better(spark):
+    from listingspark.operators import metrics
+
+    rows = [(name, "l", 0, 10.0, 9.7) for name in ("median_F0", "other", "least")]
+    predictions = spark.createDataFrame(rows, "experiment string, listing_id string, fold int, actual_pkr double, predicted_pkr double")
+    folds = spark.createDataFrame([("median_F0", 0, 0.1 + 0.2), ("other", 0, 0.3), ("least", 0, 0.2999)], "experiment string, fold int, mae_pkr double")
+    found = {r["experiment"]: r["folds_better_than_baseline"] for r in metrics.experiment_summary(predictions, folds).collect()}
+    assert found == {"median_F0": 0, "other": 0, "least": 1}
