@@ -3,7 +3,8 @@
 Pages are laid in the order of host and url path. A page is compared with the neighbour of its
 host whose path agrees longest, by a longest common subsequence over their lines of text: what
 both share is template and is deleted. Lines inside an article element are text of the page even
-where a neighbour repeats them, and lines of menus, forms and the like are none even where
+where a neighbour repeats them (quotations do), unless it repeats the whole article beside a longer
+text of the page's own in the main element; lines of menus, forms and the like are none even where
 nothing repeats them.
 """
 
@@ -179,10 +180,15 @@ def main_lines(lines: list[Line], shared: set[int]) -> list[str]:
     """Lines of the best region that are neither noise nor shared template.
 
     Outside of articles and main elements shared lines go; if nearly all lines are shared the
-    neighbour is a copy of the page and shows no template.
+    neighbour is a copy of the page and shows no template. An article that the neighbour has word for
+    word is a teaser of the site where the main element around it holds more text that is the page's own.
     """
     clean = [(i, x) for i, x in enumerate(lines) if not x.noise]
     best = best_region(lines)
+    if best == 3 and all(i in shared for i, x in clean if x.region == 3):
+        own = sum(len(x.text) for i, x in clean if x.region == 2 and i not in shared)
+        if own > sum(len(x.text) for _, x in clean if x.region == 3):
+            best = 2
     inside = [(i, x) for i, x in clean if x.region == best]
     if best < 2 and sum(i in shared for i, _ in inside) < 0.9 * len(inside):
         inside = [(i, x) for i, x in inside if i not in shared]
@@ -200,19 +206,17 @@ def shared_lines(pages: DataFrame, *, url: str = "url", html: str = "html") -> D
     neighbour is always another page. Pages get gapless numbers in the order of host, path and
     key; neighbours are the pages before and after of the same host. Numbers are cut into groups
     and a page at the edge of one is also laid into the next, so no task sees a whole host and no
-    pair is lost. Of two whose paths agree as far, the one that shares more lines counts. Pages with
-    an article or main element serve as neighbours but get no row, since what they share is never
-    deleted from it; nor do pages that share nothing.
+    pair is lost. Of two whose paths agree as far, the one that shares more lines counts. Every page
+    is compared; those that share nothing get no row.
     """
 
-    @F.pandas_udf("lines array<long>, plain boolean")
-    def hashes(htmls: pd.Series) -> pd.DataFrame:
-        pages = [lines_of(h) for h in htmls]
-        return pd.DataFrame({"lines": [[xxhash.xxh64_intdigest(x.text) - (1 << 63) for x in p] for p in pages], "plain": [best_region(p) < 2 for p in pages]})
+    @F.pandas_udf("array<long>")
+    def hashes(htmls: pd.Series) -> pd.Series:
+        return pd.Series([[xxhash.xxh64_intdigest(x.text) - (1 << 63) for x in lines_of(h)] for h in htmls])
 
     host, path = split_url(url)
-    narrow = pages.select(_page_key(url, html).alias("key"), host.alias("host"), path.alias("path"), hashes(F.col(html)).alias("read"))
-    distinct = narrow.groupBy("key", "host").agg(F.min(F.struct("path", "read.lines", "read.plain")).alias("first"))
+    narrow = pages.select(_page_key(url, html).alias("key"), host.alias("host"), path.alias("path"), hashes(F.col(html)).alias("lines"))
+    distinct = narrow.groupBy("key", "host").agg(F.min(F.struct("path", "lines")).alias("first"))
     placed = numbered(distinct.select("key", "host", "first.*"), ["host", "path", "key"], "number", "page-lines")
     home, place = F.floor(F.col("number") / GROUP), F.col("number") % GROUP
     groups = F.array_compact(F.array(home, F.when(place == 0, home - 1), F.when(place == GROUP - 1, home + 1)))
@@ -234,7 +238,7 @@ def shared_lines(pages: DataFrame, *, url: str = "url", html: str = "html") -> D
             out.append(np.array(max(both, key=len, default=[]), np.int32))
         return pd.Series(out)
 
-    joined = sides.where("plain").withColumn("a", same("a")).withColumn("b", same("b"))
+    joined = sides.withColumn("a", same("a")).withColumn("b", same("b"))
     found = joined.select("key", shared("lines", "path", "a.path", "a.lines", "b.path", "b.lines").alias("shared"))
     return found.where(F.size("shared") > 0)
 

@@ -306,6 +306,17 @@ def test_neighbours_are_other_pages_and_cross_group_edges(spark):
     assert {r["text"] for r in out if 1000 <= r["page_id"] < 2000} == {"Text of the copies"}
 
 
+def test_pages_with_articles_are_compared_too(spark):
+    teaser = "<article><p>Read our other stories</article>"
+    rows = [(i, f"http://h.example/p/{i}", f"<main><p>Lead {i} of a story told at length<p>Body {i} of it{teaser}</main>") for i in range(3)]
+    quoting = [(10 + i, f"http://q.example/p/{i}", f"<main><p>Posted on day {i}<article><p>A quotation that both pages have</article></main>") for i in range(2)]
+    pages = spark.createDataFrame([*rows, *quoting], "page_id long, url string, html string")
+    assert html_diff.shared_lines(pages).count() == 5
+    got = {r["page_id"]: r["text"] for r in html_diff.main_text(pages).collect()}
+    assert [got[i] for i in range(3)] == [f"Lead {i} of a story told at length\nBody {i} of it" for i in range(3)]
+    assert got[10] == got[11] == "A quotation that both pages have"
+
+
 def test_rules_and_trust(spark):
     link = lambda *h: "".join(f'<a class="x" href="{u}">l</a>' for u in h)
     rows = [
