@@ -60,7 +60,7 @@ def labels(t):
     """Component label of every id over all versions and historical groups."""
     def build():
         links = consolidate.history_links(observations(t), history(t), fields=LINK_FIELDS)
-        return components.component_labels(links, "listing_id", "link")
+        return components.component_labels(links, "listing_id", "link", written=True)
 
     return c.stage(t, "labels", build)
 

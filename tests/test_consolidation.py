@@ -105,6 +105,23 @@ def test_components_of_chains_hubs_and_noise_match_union_find(spark):
     assert {r["id"]: r["component"] for r in again.collect()} == found
 
 
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    """All rounds over one long chain write a small multiple of its edges."""
+    written = []
+
+    class Counted(components.StageTables):
+        def write(self, df):
+            table = super().write(df)
+            written.extend([table.count()] if "/components-" in self.root else [])
+            return table
+
+    monkeypatch.setattr(components, "StageTables", Counted)
+    places = spark.range(3000)
+    chain = places.selectExpr("id AS node", "id div 2 AS key").unionByName(places.selectExpr("id AS node", "-1 - (id + 1) div 2 AS key"))
+    found = components.component_labels(chain, "node", "key").select("component").distinct().collect()
+    assert [r["component"] for r in found] == [0] and sum(written) < 5 * written[0]
+
+
 def population(spark, families=4, groups=8, price=lambda i: 1_000_000 + i):
     rows = [(f"l{f}_{g}", f"g{f}_{g}", f"make{f}", "m", price(g)) for f in range(families) for g in range(groups)]
     return spark.createDataFrame(rows, "listing_id string, group_id string, make string, model string, price_pkr bigint")
