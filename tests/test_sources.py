@@ -251,3 +251,30 @@ def test_a_failed_compaction_changes_nothing(spark, tmp_path, monkeypatch):
 
 def test_checkpoint_folder_is_stable(spark):
     assert checkpoint_root(spark) == checkpoint_root(spark)
+
+
+def test_pages_of_one_template_are_nested_once(monkeypatch):
+    from listingspark.sources import pages
+
+    page = (
+        '<html><head><script type="application/ld+json">{{"name":"{0} &amp; <b>"}}</script></head><body><h1> {0}  &amp; Co </h1>{0}</b>{0}'
+        '<div class="price-box"><strong>PKR {0}</strong></div><ul id="scroll_car_detail"><li class="ad-data">{0}:<li>v{0}</li><li class="ad-data">a</li><li>{0}</li></ul>'
+        '<h2 id="scroll_seller_comments">Comments</h2><div>{0}\nx<br>y</div><div class="cards">{0}</div></body></html>'
+    )
+    odd = ("<p>a<b</p>", "<p title='x>y'>a</p>", "<SCRIPT>a<b></SCRIPT>c", "<script>a", "<!-- <p> -->a", '<p title="x>y">a', "", "a", "</p a=\"1>2\">b", "<!doctype html><p>a")
+    names = ("1", "A", "", " ", "2 < 3", "x &lt; y", "\x013\x02")
+    markups = [page.format(name) for name in names] + [page.format("z") + more for more in odd] + list(odd)
+    built, build = [], pages.build_tree
+    monkeypatch.setattr(pages, "build_tree", lambda html: built.append(html) or build(html))
+    pages._layout.cache_clear()
+    found = [pages.read_page(markup) for markup in markups]
+    assert found[0][0] == "1 & Co" and found[0][4] == [{"label": "1", "value": "v1"}, {"label": "a", "value": "1"}] and found[0][5] == ["1", "x", "y"]
+    monkeypatch.setattr(pages, "_from_layout", lambda html, parts: None)
+    assert found == [pages.read_page(markup) for markup in markups]
+    pages._layout.cache_clear()
+    monkeypatch.undo()
+    monkeypatch.setattr(pages, "build_tree", lambda html: built.append(html) or build(html))
+    built.clear()
+    for i in range(50):
+        pages.read_page(page.format(i))
+    assert len(built) == 1
