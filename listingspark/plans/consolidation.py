@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components, consolidate, splits
 from . import common as c
-from .bindings import OBS, observations
+from .bindings import OBS, WITHIN, observations
 from .registry import query
 
 LINK_FIELDS = ("make", "model", "year", "mileage_km", "engine_cc")
@@ -18,7 +18,7 @@ COMPARED = ("make", "model", "variant", "year", "mileage_km", "engine_cc", "fuel
   SELECT listing_id, collected_at, source_batch, make, model, variant, year, mileage_km, price_pkr, observation_count, observation_batches, family_changed
   FROM latest JOIN b USING (listing_id)""")
 def latest_observation(t):
-    return consolidate.latest_observations(observations(t)).select(
+    return consolidate.latest_observations(observations(t), within=WITHIN).select(
         "listing_id", "collected_at", "source_batch", "make", "model", "variant", "year", "mileage_km", "price_pkr",
         "observation_count", "observation_batches", "family_changed",
     )
@@ -28,7 +28,7 @@ def latest_observation(t):
   SELECT listing_id, collected_at, any_value(observation_count) AS observation_count FROM obs JOIN newest USING (listing_id, collected_at)
   GROUP BY ALL HAVING count(DISTINCT ({', '.join(COMPARED)})) > 1""")
 def tie_conflicts(t):
-    return consolidate.tie_conflicts(consolidate.latest_observations(observations(t), compared=COMPARED))
+    return consolidate.tie_conflicts(consolidate.latest_observations(observations(t), compared=COMPARED, within=WITHIN))
 
 
 # Historical assignments for some ids: groups of ids that shared an order, most in one place.
@@ -40,10 +40,10 @@ _HISTORY = """history AS (SELECT DISTINCT listing_id, concat('old_', order_key /
 
 def history(t):
     return c.stage(t, "history", lambda: observations(t).where("order_key % 4 = 3").selectExpr(
-        "listing_id", "concat('old_', order_key div 12) AS group_id",
+        *WITHIN, "listing_id", "concat('old_', order_key div 12) AS group_id",
         "CASE WHEN (order_key div 12) % 5 = 0 THEN 'demo_test' ELSE 'development' END AS partition",
         "CASE WHEN (order_key div 12) % 5 <> 0 THEN cast((order_key div 12) % 3 AS int) END AS validation_fold",
-    ).distinct())
+    ).distinct().drop(*WITHIN))
 
 
 _LINKS = f"""links AS (SELECT DISTINCT listing_id, sha256(concat_ws(chr(31), {', '.join(LINK_FIELDS)})) AS link FROM obs
@@ -59,7 +59,7 @@ _REC = "WITH RECURSIVE "
 def labels(t):
     """Component label of every id over all versions and historical groups."""
     def build():
-        links = consolidate.history_links(observations(t), history(t), fields=LINK_FIELDS)
+        links = consolidate.history_links(observations(t), history(t), fields=LINK_FIELDS, within=WITHIN)
         return components.component_labels(links, "listing_id", "link", written=True)
 
     return c.stage(t, "labels", build)
@@ -95,6 +95,13 @@ _CONSOLIDATED = f"""{OBS}, {c.LATEST}, {_HISTORY}, {_LINKS}, {_LABELS}, {_VERDIC
     len(rs) = 0 AND part_key % 11 <> 0 AS source_checked_candidate FROM cons0)"""
 
 
+# Columns of consolidated rows that some query reads; others would be shuffled and written for nothing.
+_READ = (
+    "listing_id", "collected_at", "source_batch", "make", "model", "price_pkr", "observation_count", "group_id", "historical_partition",
+    "historical_validation_fold", "exclusion_reasons", "modeling_candidate", "source_checked_candidate",
+)
+
+
 def consolidated(t):
     def build():
         flagged = observations(t).selectExpr(
@@ -102,7 +109,8 @@ def consolidated(t):
             "part_key % 13 <> 0 AS modeling_candidate", "part_key % 13 <> 0 AND part_key % 11 <> 0 AS source_checked_candidate",
         )
         # Ties between batches resolve by the same column order as the SQL.
-        return consolidate.consolidate_observations(flagged, history(t), fields=LINK_FIELDS, compared=(*COMPARED, "source_checked_candidate"))
+        rows = consolidate.consolidate_observations(flagged, history(t), fields=LINK_FIELDS, compared=(*COMPARED, "source_checked_candidate"), within=WITHIN)
+        return rows.select(*_READ)
 
     return c.stage(t, "consolidated", build)
 

@@ -228,3 +228,20 @@ def test_continued_splits_never_move_history(spark):
         assert {p for i, (p, _) in only.items() if not i.endswith("_0")} == {"development"}
     mixed = rows.withColumn("group_id", F.when(F.col("listing_id").isin("l0_0", "l0_1"), F.lit("g")).otherwise(F.col("group_id")))
     assert {r["violation"] for r in splits.history_violations(mixed).collect()} == {"conflicting_historical_locations"}
+
+
+def test_rows_that_lie_together_are_not_dealt_anew(spark):
+    rows = spark.createDataFrame([(*observation(f"{order}-{line}", day, "a", price=day), order) for order in range(5) for line in range(2) for day in (1, 2)],
+                                 SCHEMA + ", order_key bigint")
+    together = rows.repartition(4, "order_key")
+    latest = consolidate.latest_observations(together, within=["order_key"])
+    assert latest.columns == consolidate.latest_observations(rows).columns
+    assert latest._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, latest.collect())) == sorted(map(str, consolidate.latest_observations(rows).collect()))
+
+
+def test_ids_are_dealt_once_for_their_roots_and_homes(spark):
+    links = spark.createDataFrame([("b", "x"), ("a", "x"), ("b", "y"), ("c", "y"), ("d", None), (None, "x")], "node string, key string")
+    rooted = components._rooted(links)
+    assert {tuple(r) for r in rooted.collect()} == {("a", "a", "a"), ("b", "a", "a"), ("b", "b", "a"), ("c", "b", "b"), ("d", "d", "d"), (None, "a", "a")}
+    assert rooted._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [node") == 1
