@@ -254,3 +254,17 @@ def test_equal_errors_summed_in_another_order_are_not_better(spark):
     folds = spark.createDataFrame([("median_F0", 0, 0.1 + 0.2), ("other", 0, 0.3), ("least", 0, 0.2999)], "experiment string, fold int, mae_pkr double")
     found = {r["experiment"]: r["folds_better_than_baseline"] for r in metrics.experiment_summary(predictions, folds).collect()}
     assert found == {"median_F0": 0, "other": 0, "least": 1}
+
+
+def test_rows_are_not_shuffled_to_meet_few_medians(spark):
+    from listingspark.operators import baseline, support
+
+    rows = spark.range(600).selectExpr(
+        "concat('l', id) AS listing_id", "concat('M', id % 2) AS make", "'X' AS model", "1990 + id % 3 AS year", "cast(id % 3 AS int) AS validation_fold", "1000 + id AS price_pkr")
+    predicted = baseline.out_of_fold_medians(rows, 3)
+    assert "Exchange hashpartitioning" not in predicted._jdf.queryExecution().executedPlan().toString()
+    assert predicted.count() == 600 and predicted.where("predicted_pkr IS NULL").isEmpty()
+    scored = predicted.selectExpr("listing_id", "concat(make, ' ', model) AS family", "price_pkr AS actual_pkr", "predicted_pkr")
+    gate = support.gate_table(scored, scored, support.ErrorLimits(1e6, 60.0, 0.0, {"M0 X": 1e6}))
+    assert "listing_id" not in gate._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["check"]: r["actual"] for r in gate.collect()}["overall: sufficient rows"] == 600
