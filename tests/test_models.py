@@ -268,3 +268,35 @@ def test_rows_are_not_shuffled_to_meet_few_medians(spark):
     gate = support.gate_table(scored, scored, support.ErrorLimits(1e6, 60.0, 0.0, {"M0 X": 1e6}))
     assert "listing_id" not in gate._jdf.queryExecution().optimizedPlan().toString()
     assert {r["check"]: r["actual"] for r in gate.collect()}["overall: sufficient rows"] == 600
+
+
+def fitted_experiments(monkeypatch, build):
+    """What a model query asks ``compare_candidates`` to fit; nothing is fitted."""
+    from listingspark.plans import models
+
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def stop(rows, experiments, folds, **_):
+        asked.update(experiments)
+        raise Asked
+
+    monkeypatch.setattr(models.estimators, "compare_candidates", stop)
+    monkeypatch.setattr(models.c, "development", lambda t: None)
+    monkeypatch.setattr(models.c, "stage", lambda t, name, written: written())
+    with pytest.raises(Asked):
+        getattr(models, build)(None)
+    return asked
+
+
+def test_boosted_trees_query_fits_the_whole_candidate(monkeypatch):
+    ((name, columns, settings),) = fitted_experiments(monkeypatch, "boosted_trees").values()
+    assert name == "boosted_trees" and columns == adopted_features()
+    assert {**estimators.BOOSTED, **settings} == estimators.BOOSTED and estimators.BOOSTED["maxIter"] == 300
+
+
+def test_boosting_does_not_keep_the_lineage_of_all_rounds(spark):
+    model = estimators.fit_candidate("boosted_trees", population(spark), ("make", "year"), parameters={"maxIter": 21, "maxDepth": 2})
+    assert spark.sparkContext.getCheckpointDir() and model.stages[-1].getNumTrees == 21
