@@ -278,3 +278,25 @@ def test_pages_of_one_template_are_nested_once(monkeypatch):
     for i in range(50):
         pages.read_page(page.format(i))
     assert len(built) == 1
+
+
+def test_layouts_give_what_the_tree_gives_without_searching_every_tag():
+    """Odd markup read by its layout equals the tree's; a known layout costs no search for each tag."""
+    import random
+
+    from listingspark.sources import pages
+
+    bits = ["<script>", "</script>", "</SCRIPT >", "<script type=\"application/ld+json\">", "{\"a\": \"<b>x</b>\"}", "{\"a\": 1}", "<style>", "</style>", "<", ">", "&amp;", "\"", "'",
+            "<!DOCTYPE html>", "<!-- x -->", "<ul id=\"scroll_car_detail\">", "<li class=\"ad-data\">", "</li>", "</ul>", "<h1>", "</h1>", "<p>", "<br/>", "<a title=\"x>y\">", "<a title='q'>",
+            "<div class=\"price-box\">", "<strong>", "</strong>", "</div>", "<h2 id=\"scroll_seller_comments\">", "</h2>", "<div>", "<body>", " a > b ", "x\x85y", "\x013\x02", "<x/y z>", "<svg/>"]
+    rng, by_layout = random.Random(7), 0
+    for _ in range(4000):
+        markup = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 12)))
+        found = pages._from_layout(markup, pages.PARTS)
+        by_layout += found is not None
+        assert found is None or found == pages._collected(markup, pages.PARTS), markup
+    assert by_layout > 500
+    page = "<html><body><h1>{0}</h1>" + "<p>PKR {0} > 5</p>" * 50 + "<script type=\"application/ld+json\">{{\"a\": \"<b>{0}</b>\"}}</script></body></html>"
+    pages._layout.cache_clear()
+    assert [pages.read_page(page.format(i), ["title", "objects"]) for i in range(3)] == [(str(i), [f'{{"a": "<b>{i}</b>"}}']) for i in range(3)]
+    assert pages._layout.cache_info().misses == 1 and not hasattr(pages, "_PIECE")
