@@ -88,3 +88,14 @@ def test_a_dominant_group_of_close_values_is_cut_until_it_fits(spark):
 def test_the_median_of_nothing(spark):
     assert grouped_median(spark.createDataFrame([], "g string, v double"), ["g"], "v").collect() == []
     assert grouped_median(spark.createDataFrame([("a", None)], "g string, v double"), ["g"], "v").collect() == []
+
+
+def test_rows_of_many_groups_combine_into_few_cells(spark):
+    from listingspark.operators.ranking import CELL_SHIFTS
+
+    rng = random.Random(5)
+    numbers = [rng.uniform(0.0, 60_000.0) for _ in range(4000)]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double")
+    cells = rows.select(F.shiftright(ordered_bits(F.col("x")), CELL_SHIFTS[0]).alias("c")).groupBy("c").count().collect()
+    assert len(cells) < 400 and max(r["count"] for r in cells) < 400
+    assert grouped_median(rows.withColumn("g", F.lit(1)), ["g"], "x", limit=10).first()["median"] == median(numbers)
