@@ -177,3 +177,18 @@ def test_city_slug_is_searched_for_once(spark):
     found = extract.extract_listings(rows).select("listing_id", "listing_city")
     assert found._jdf.queryExecution().executedPlan().toString().count("-for-sale-in-") == 1
     assert {tuple(r) for r in found.collect()} == {(f"42{i}", "D G Khan") for i in range(3)}
+
+
+def test_provenance_documents_are_parsed_once(spark, monkeypatch):
+    from listingspark.plans import extraction
+
+    document = '{"price_pkr":{"displayed":"PKR 5 é ","source":"main_price_box"},"registration_year":{"source":"s","statements":["Registered \\"1995\\"","b"]}}'
+    rows = spark.createDataFrame(
+        [(1, 1, 1, document, "conflicting"), (2, 1, 1, document, "extracted"), (3, 1, 1, None, "not_stated")],
+        "k int, n int, sk int, field_provenance string, registration_year_status string")
+    monkeypatch.setattr(extraction, "extracted", lambda t, *columns: rows)
+    found = extraction.provenance(None)
+    assert "get_json_object" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: tuple(r)[3:] for r in found.collect()}
+    assert got[1] == ("main_price_box", "PKR 5 é ", None, None, '["Registered \\"1995\\"","b"]')
+    assert got[2] == (*got[1][:4], None) and got[3] == (None,) * 5
